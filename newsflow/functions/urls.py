@@ -165,7 +165,7 @@ def with_registered_domain(df: DataFrame, url: str, suffixes: DataFrame, out: st
 def safe_filename(title: Column | str, limit: int = 249) -> Column:
     """A title made usable as a file name."""
     step = F.regexp_replace(_col(title), r'[<>:"/\\|?*]', "_")
-    step = F.regexp_replace(step, r"(?U)[^\w\-.]", "_")
+    step = F.regexp_replace(step, r"[^\p{L}\p{N}_\-.]", "_")
     return F.substring(F.regexp_replace(step, r"^_+|_+$", ""), 1, limit)
 
 
