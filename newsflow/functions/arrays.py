@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,15 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Inside a lambda an expression is computed again for every element; a lambda variable
+    is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -97,4 +106,4 @@ def vocabulary_topics(text, vocabulary: Sequence[str]) -> Column:
     """Vocabulary entries that occur in the text, in vocabulary order."""
     lowered = F.lower(F.coalesce(_col(text), F.lit("")))
     known = F.array(*[F.lit(v) for v in vocabulary])
-    return F.filter(known, lambda t: F.contains(lowered, F.lower(t)))
+    return bind(lowered, lambda low: F.filter(known, lambda t: F.contains(low, F.lower(t))))

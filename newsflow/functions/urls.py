@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsflow.functions.arrays import bind
+
 # Suffixes under which a name is registered, used when the caller
 # supplies no suffix table of their own.
 DEFAULT_SUFFIXES = (
@@ -114,9 +116,9 @@ def registered_domain(url: Column | str, suffixes: Sequence[str] = DEFAULT_SUFFI
     """
     name = _bare_host(url)
     labels = F.split(name, r"\.")
-    count = F.size(labels)
     known = F.array(*[F.lit(s) for s in suffixes])
-    tails = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(labels, i, count), "."))
+    tails = bind(labels, lambda parts: F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
     cut = F.array_position(F.transform(tails, lambda t: F.array_contains(known, t)), True)
     return (
         F.when(name == "", "")

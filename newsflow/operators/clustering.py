@@ -152,40 +152,30 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     return joined.select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def component_levels(points: DataFrame, edges: DataFrame, cuts: Sequence[float], min_size: int) -> DataFrame:
-    """``(level, comp, size, parent)``: components of at least ``min_size`` points per cut.
+def component_levels(points: DataFrame, edges: DataFrame, cuts: Sequence[float], min_size: int) -> tuple[DataFrame, DataFrame]:
+    """Components per cut: ``(level, comp, size)`` of at least ``min_size``, ``(level, vid, comp)``.
 
-    Levels go from fine to coarse; each contracts the components of the level before, so
-    the graph shrinks. ``points`` has ``vid`` and ``copies``. Also returns the component of
-    every point per level as ``(level, vid, comp)``.
+    Every level is its own copy of the graph (node = vid * levels + level), so one run of
+    component rounds settles all of them together. ``points`` has ``vid`` and ``copies``.
     """
-    comp = points.select("vid", F.col("vid").alias("comp"))
-    tables, members = [], []
-    left = edges
-    for level, cut in enumerate(cuts):
-        contracted = left.filter(F.col("w") <= float(cut)).select("a", "b").distinct()
-        nodes = comp.select(F.col("comp").alias("node")).distinct()
-        merged = connected_components(nodes, contracted).withColumnRenamed("comp", "_to")
-        comp = cut_lineage(
-            comp.join(merged, F.col("comp") == F.col("node")).select("vid", F.col("_to").alias("comp"))
-        )
-        to_a = merged.select(F.col("node").alias("a"), F.col("_to").alias("_a"))
-        to_b = merged.select(F.col("node").alias("b"), F.col("_to").alias("_b"))
-        left = cut_lineage(
-            left.filter(F.col("w") > float(cut)).join(to_a, "a").join(to_b, "b")
-            .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "w")
-            .filter("a <> b").groupBy("a", "b").agg(F.min("w").alias("w"))
-        )
-        sizes = (
-            comp.join(points.select("vid", "copies"), "vid").groupBy("comp").agg(F.sum("copies").alias("size"))
-            .filter(F.col("size") >= min_size)
-        )
-        tables.append(sizes.withColumn("level", F.lit(level)))
-        members.append(comp.withColumn("level", F.lit(level)))
-    out_sizes, out_members = tables[0], members[0]
-    for t, m in zip(tables[1:], members[1:]):
-        out_sizes, out_members = out_sizes.unionByName(t), out_members.unionByName(m)
-    return cut_lineage(out_sizes), out_members
+    n = len(cuts)
+    grid = F.array(*[F.struct(F.lit(i).cast("long").alias("level"), F.lit(float(c)).alias("cut")) for i, c in enumerate(cuts)])
+
+    def node(name: str) -> Column:
+        return F.col(name) * n + F.col("level")
+
+    levelled = edges.select("a", "b", "w", F.explode(grid).alias("g")).select("a", "b", "w", "g.level", "g.cut")
+    graph = levelled.filter(F.col("w") <= F.col("cut")).select(node("a").alias("a"), node("b").alias("b"))
+    nodes = points.select("vid", "copies", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level"))
+    found = connected_components(nodes.select(node("vid").alias("node")), graph)
+    members = cut_lineage(found.select(
+        F.pmod("node", F.lit(n)).cast("int").alias("level"), F.floor(F.col("node") / n).alias("vid"),
+        F.floor(F.col("comp") / n).alias("comp")))
+    sizes = (
+        members.join(points.select("vid", "copies"), "vid").groupBy("level", "comp").agg(F.sum("copies").alias("size"))
+        .filter(F.col("size") >= min_size)
+    )
+    return cut_lineage(sizes), members
 
 
 def density_clusters(
@@ -275,7 +265,7 @@ def _excess_of_mass(sizes: DataFrame, members: DataFrame, cuts: Sequence[float])
         # A head that was not taken hands the role to the next split; so does the root.
         rest = open_nodes.filter(~takes).select(F.col("comp").alias("parent"), (F.col("n_parts") > 1).alias("is_head"))
         lower = nodes.filter(F.col("level") == level - 1)
-        open_nodes = lower.join(rest, "parent")
+        open_nodes = cut_lineage(lower.join(rest, "parent"))
     return cut_lineage(chosen)
 
 

@@ -97,39 +97,39 @@ def battle_results(placed: DataFrame, keys: list[str], key: str = "id", place: s
 
 def bradley_terry(
     items: DataFrame, battles: DataFrame, key: str = "id", iterations: int = 30, prior: float = 0.1,
-    cut_every: int = 5,
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """``(id, bt)``: log strengths by the MM algorithm (Hunter 2004), mean zero over the items.
 
     ``prior`` is a virtual half win and half loss against an item of strength 1, which keeps
     items finite that won or lost everything. Battles are reduced to one row per pair
-    before the iterations, which join strengths onto pairs and sum per item.
+    before the iterations, which join strengths onto pairs and sum per item. ``start`` holds
+    earlier strengths ``(id, bt)`` to begin from. A strength is read twice per step, so
+    every step is checkpointed: lineage would otherwise double each time.
     """
     ids = items.select(F.col(key).cast("long").alias("i"))
     known = battles.filter(F.col("winner") != F.col("loser"))
     wins = known.groupBy(F.col("winner").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("wins"))
     low, high = F.least("winner", "loser"), F.greatest("winner", "loser")
     met = known.groupBy(low.alias("a"), high.alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pairs = cut_lineage(
-        met.select(F.col("a").alias("i"), F.col("b").alias("j"), "n")
-        .unionByName(met.select(F.col("b").alias("i"), F.col("a").alias("j"), "n"))
-        .join(ids, "i", "left_semi").join(ids.withColumnRenamed("i", "j"), "j", "left_semi")
-    )
-    won = cut_lineage(ids.join(wins, "i", "left").fillna(0.0, ["wins"]))
-    strength = won.select("i", F.lit(1.0).alias("w"))
-    for step in range(iterations):
-        of_other = strength.select(F.col("i").alias("j"), F.col("w").alias("wj"))
-        sums = (
-            pairs.join(of_other, "j").join(strength, "i")
-            .groupBy("i").agg(F.sum(F.col("n") / (F.col("w") + F.col("wj"))).alias("d"))
-        )
-        strength = won.join(strength, "i").join(sums, "i", "left").select(
-            "i",
-            ((F.col("wins") + prior / 2) / (F.coalesce("d", F.lit(0.0)) + prior / (F.col("w") + 1))).alias("w"),
-        )
-        if (step + 1) % cut_every == 0:
-            strength = cut_lineage(strength)
-    logs = strength.select(F.col("i").alias(key), F.ln("w").alias("_log"))
+    met = met.join(ids.withColumnRenamed("i", "a"), "a", "left_semi").join(ids.withColumnRenamed("i", "b"), "b", "left_semi")
+    pairs = cut_lineage(met.select("a", "b", "n"))
+    state = ids.join(wins, "i", "left").fillna(0.0, ["wins"])
+    if start is None:
+        state = state.withColumn("w", F.lit(1.0))
+    else:
+        before = start.select(F.col(key).alias("i"), F.exp("bt").alias("w"))
+        state = state.join(before, "i", "left").fillna(1.0, ["w"])
+    state = cut_lineage(state)
+    for _ in range(iterations):
+        wa = state.select(F.col("i").alias("a"), F.col("w").alias("wa"))
+        wb = state.select(F.col("i").alias("b"), F.col("w").alias("wb"))
+        share = pairs.join(wa, "a").join(wb, "b").select(
+            F.explode(F.array("a", "b")).alias("i"), (F.col("n") / (F.col("wa") + F.col("wb"))).alias("d"))
+        sums = share.groupBy("i").agg(F.sum("d").alias("d"))
+        fresh = (F.col("wins") + prior / 2) / (F.coalesce("d", F.lit(0.0)) + prior / (F.col("w") + 1))
+        state = cut_lineage(state.join(sums, "i", "left").select("i", "wins", fresh.alias("w")))
+    logs = state.select(F.col("i").alias(key), F.ln("w").alias("_log"))
     mean = logs.select(F.avg("_log")).scalar()
     return logs.select(key, (F.col("_log") - mean).alias("bt"))
 
@@ -175,7 +175,7 @@ def tournament(
     seeded = number_rows(items.select(key, order).distinct(), [order, key], "_rn")
     strength = seeded.select(key, positional_seed("_rn", n).alias("bt"))
     ranking = rank_windows(strength, key, "bt", window)
-    battles = None
+    battles = fitted = None
     changes: list[float] = []
     for number in range(max_rounds):
         if battles is None:
@@ -190,7 +190,8 @@ def tournament(
         battles = cut_lineage(new if battles is None else battles.unionByName(new))
         if battles.isEmpty():
             continue
-        strength = cut_lineage(bradley_terry(items, battles, key, iterations))
+        strength = cut_lineage(bradley_terry(items, battles, key, iterations, start=fitted))
+        fitted = strength
         previous, ranking = ranking, rank_windows(strength, key, "bt", window)
         changes.append(rank_change(previous, ranking, key, "rank").first()["mean_change"])
         if should_stop(changes, n, max_rounds):

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsflow.functions.arrays import bind
+
 CHUNK = 2048
 MAX_PIVOTS = 512
 _SLACK = 1e-6
@@ -25,9 +27,10 @@ _SLACK = 1e-6
 def l2_normalise(vec: Column | str) -> Column:
     """Vector divided by its length; a zero vector stays as it is."""
     vec = F.col(vec) if isinstance(vec, str) else vec
-    doubles = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, doubles).otherwise(F.transform(doubles, lambda x: x / norm))
+    squares = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    norm = F.when(squares == 0, 1.0).otherwise(F.sqrt(squares))
+    # Bound to an outer variable, the length is computed once and not once per component.
+    return bind(norm, lambda n: F.transform(vec, lambda x: x.cast("double") / n))
 
 
 def merge_copies(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -134,6 +137,8 @@ def compare_blocks(
             return pd.DataFrame({c.strip().split(" ")[0]: [] for c in schema.split(",")})
         return compare(home, probe)
 
+    # Both sides can stem from one frame; fresh column identities keep them apart.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
