@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_text", "queries_tables", "queries_stats", "queries_vectors")
+MODULES = ("queries_text", "queries_tables", "queries_stats", "queries_vectors", "queries_sections")
 
 
 def load_queries() -> tuple[dict, dict]:
