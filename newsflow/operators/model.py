@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.functions.text import blank_to_null, strip
-from newsflow.operators.dedup import top_per_key
 
 Model = Callable[[list[dict]], list[dict]]
 
@@ -217,33 +216,53 @@ IDF_BUCKETS = 16**4
 
 
 def term_bucket(term: Column) -> Column:
-    """One of 65536 buckets of a term, so that term statistics stay broadcastable."""
-    return F.substring(F.md5(term), 1, 4)
+    """One of 65536 buckets of a term, so that term statistics have a fixed size."""
+    return F.conv(F.substring(F.md5(term), 1, 4), 16, 10).cast("int")
 
 
-def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, pos, sentence)``: texts cut after sentence ends and at line breaks."""
-    pieces = F.split(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\n"), r"\n+")
-    rows = df.select(key, F.posexplode(pieces).alias("pos", "sentence"))
-    return rows.withColumn("sentence", strip("sentence")).filter(F.col("sentence") != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def document_frequencies(df: DataFrame, text: str) -> DataFrame:
+    """One row with ``counts``: number of documents per term bucket.
+
+    A document contributes each of its buckets once, counted before the shuffle, so the
+    shuffle carries at most 65536 rows per task and the result has 65536 entries.
+    """
+    buckets = df.select(F.explode(F.array_distinct(F.transform(_words(F.col(text)), term_bucket))).alias("b"))
+    counts = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(IDF_BUCKETS).select(F.col("id").cast("int").alias("b"))
+    filled = every.join(counts, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "n"))), lambda x: x["n"]).alias("counts"))
 
 
 def extract_summary(df: DataFrame, key: str, text: str, top: int = 3) -> DataFrame:
     """``(key, rank, pos, sentence, score)``: the sentences with the highest TF-IDF sums.
 
-    Document frequencies are kept per hash bucket of a term: at most 65536 rows, which
-    bounds the broadcast whatever the vocabulary. A sentence's score is the sum over its
-    terms of ln((1 + documents) / (1 + documents with the term)).
+    Texts are cut after sentence ends and at line breaks. A sentence's score is the sum over
+    its words of ln((1 + documents) / (1 + documents with the word)); equal scores keep
+    reading order. Apart from the document frequencies everything happens inside the row
+    of a document, so texts are not shuffled.
     """
-    rows = sentences(df, key, text)
-    words = F.filter(F.split(F.lower("sentence"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    buckets = rows.select(key, "pos", F.explode(F.transform(words, term_bucket)).alias("b"))
-    counts = buckets.groupBy("b", key).agg(F.lit(1).alias("one")).groupBy("b").agg(F.count("one").alias("df"))
+    counts = document_frequencies(df, text).scalar()
     total = df.select(F.count(F.lit(1))).scalar()
-    weights = counts.select("b", F.ln((1 + total) / (1 + F.col("df"))).alias("idf"))
-    scored = buckets.join(F.broadcast(weights), "b").groupBy(key, "pos").agg(F.round(F.sum("idf"), 6).alias("score"))
-    best = top_per_key(scored, [key], [F.desc("score"), "pos"], top)
-    return best.join(rows, [key, "pos"])
+
+    def score(sentence: Column) -> Column:
+        return F.round(F.aggregate(
+            F.transform(_words(sentence), term_bucket), F.lit(0.0),
+            lambda a, b: a + F.ln((1 + F.col("_total")) / (1 + F.get(F.col("_counts"), b)))), 6)
+
+    pieces = F.split(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\n"), r"\n+")
+    placed = F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), strip(s).alias("sentence")))
+    worded = F.filter(placed, lambda s: s["sentence"].rlike(r"[\p{L}\p{N}]"))
+    scored = F.transform(worded, lambda s: F.struct(
+        (-score(s["sentence"])).alias("minus"), s["pos"].alias("pos"), s["sentence"].alias("sentence")))
+    best = F.slice(F.array_sort(scored), 1, top)
+    # Both scalars end up inside the one projection that uses them, not as columns of rows.
+    known = df.withColumn("_total", total).withColumn("_counts", counts)
+    rows = known.select(key, best.alias("_best")).select(key, F.posexplode("_best").alias("_r", "s"))
+    return rows.select(key, (F.col("_r") + 1).alias("rank"), "s.pos", "s.sentence", (-F.col("s.minus")).alias("score"))
 
 
 def summary_text(best: DataFrame, key: str) -> DataFrame:

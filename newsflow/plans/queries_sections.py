@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsflow.functions.text import or_other
 from newsflow.operators import edits, model
 from newsflow.operators.numbering import number_rows
-from newsflow.plans.registry import ITEMS, items, query, table
+from newsflow.plans.registry import ITEMS, items, query, table, texts
 from newsflow.session import cut_lineage, shared_dir
 
 # ------------------------------------------------------------------ edits
@@ -148,7 +148,7 @@ def _length_model(chunk: list[dict]) -> list[dict]:
 @query("model_column", "select doc_id as id, length(text) as size from documents")
 def model_column(spark, d):
     """A stand-in model that answers with the length of the text, asked in chunks of 25."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return model.model_column(docs, _length_model, ["text"], "size", "bigint")
 
 
@@ -170,7 +170,7 @@ def model_defaults(spark, d):
       + case when regexp_matches(lower(text), '[0-9]{4}') then 0.25 else 0 end + 0.1)::double, 1.0::double) as confidence from documents""")
 def rule_scores(spark, d):
     patterns = [r"\bthe\b", "tion", "[0-9]{4}"]
-    return table(spark, d, "documents").select("doc_id", model.rule_confidence("text", patterns, 0.1).alias("confidence"))
+    return texts(spark, d, "documents").select("doc_id", model.rule_confidence("text", patterns, 0.1).alias("confidence"))
 
 
 @query("answers_with_default", """
@@ -228,7 +228,7 @@ _SENTENCES = r"""
     with {_SENTENCES}
     select doc_id, cast(pos as integer) as pos, sentence, score from best join sent using (doc_id, pos)""")
 def summary_extract(spark, d):
-    best = model.extract_summary(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    best = model.extract_summary(texts(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     return best.select("doc_id", "pos", "sentence", "score")
 
 
@@ -236,7 +236,7 @@ def summary_extract(spark, d):
     with {_SENTENCES}
     select doc_id, string_agg(sentence, ' ' order by pos) as summary from best join sent using (doc_id, pos) group by 1""")
 def summary_texts_extracted(spark, d):
-    best = model.extract_summary(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    best = model.extract_summary(texts(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     return model.summary_text(best, "doc_id")
 
 

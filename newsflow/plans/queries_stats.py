@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import scores
 from newsflow.operators import dedup, edits, evaluate, neardup, numbering, stats
-from newsflow.plans.registry import ITEMS, items, now, query, table
+from newsflow.plans.registry import ITEMS, items, now, query, table, texts
 
 _RATED = f"""
     (select id, lang as cat, source as section_title, n_chars, least(greatest(log10(greatest(n_chars, 1)) - 3, 0), 2)
@@ -360,4 +360,4 @@ _WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda
     select topic, count(*) as n from (select unnest({_WORDS}) as topic from documents) group by 1 having count(*) >= 3 order by n desc, topic limit 50""")
 def topic_frequency(spark, d):
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return stats.topic_frequency(table(spark, d, "documents").select(words.alias("topics")), "topics")
+    return stats.topic_frequency(texts(spark, d, "documents").select(words.alias("topics")), "topics")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import arrays, scores, text, urls
 from newsflow.operators import stats
-from newsflow.plans.registry import ITEMS, items, now, query, table
+from newsflow.plans.registry import ITEMS, items, now, query, table, texts
 from newsflow.sources import html
 
 _AUTH = r"regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1)"
@@ -104,7 +104,7 @@ def status_class(spark, d):
       left(text, 500) as preview
     from documents""")
 def word_stats(spark, d):
-    return html.page_stats(table(spark, d, "documents"), "doc_id", "text").withColumn(
+    return html.page_stats(texts(spark, d, "documents"), "doc_id", "text").withColumn(
         "chars", F.col("chars").cast("long")).withColumn("words", F.col("words").cast("long"))
 
 
@@ -112,7 +112,7 @@ def word_stats(spark, d):
     select doc_id, case when len(w) > 200 then array_to_string(w[1:200], ' ') else text end as head
     from (select doc_id, text, string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+') as w from documents)""")
 def truncate_words(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.truncate_tokens("text", 200).alias("head"))
+    return texts(spark, d, "documents").select("doc_id", text.truncate_tokens("text", 200).alias("head"))
 
 
 @query("clean_text", r"""
@@ -192,7 +192,7 @@ def markdown_links(spark, d):
         regexp_replace(text, '^\s+|\s+$', '', 'g')), '^\*+|\*+$', '', 'g') as line
     from documents""")
 def first_line(spark, d):
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", text.first_line(F.concat(F.lit("  \n**"), F.col("text"))).alias("line")
     )
 
@@ -207,7 +207,7 @@ def _redacted(column: str) -> str:
 
 @query("redact_secrets", f"select doc_id, {_redacted('text')} as clean from documents")
 def redact_secrets(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.redact_secrets("text").alias("clean"))
+    return texts(spark, d, "documents").select("doc_id", text.redact_secrets("text").alias("clean"))
 
 
 @query("published_time", """
@@ -305,7 +305,7 @@ _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY) + "]"
       array_to_string(list_filter(string_split(lower(left(text, 200)), ' '), lambda w: list_contains({_VOCAB_SQL}, w)), ',') as kept
     from documents""")
 def topic_vocab(spark, d):
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", F.array_join(arrays.vocabulary_topics("text", VOCABULARY), ",").alias("topics"),
         F.array_join(arrays.keep_vocabulary(F.split(F.lower(F.substring("text", 1, 200)), " "), VOCABULARY), ",").alias("kept"),
     )
@@ -351,7 +351,7 @@ _LINK_TITLE = _STRIP.format(_decoded(r"regexp_replace(inner_html, '\s*<[^>]*>\s*
     where title <> '' and not regexp_full_match(title, '\d+') and length(title) > 3
       and length(regexp_extract(split_part(u, '?', 1), '^[a-z]+://[^/?#]*([^?#]*)', 1)) > 1""")
 def html_links(spark, d):
-    return html.page_links(table(spark, d, "pages").select("page_id", "url", "html"), min_length=3)
+    return html.page_links(texts(spark, d, "pages").select("page_id", "url", "html"), min_length=3)
 
 
 def _body_sql() -> str:
@@ -376,7 +376,7 @@ _TEXT = _STRIP.format(rf"regexp_replace(regexp_replace({_LINES}, '[ \t\r\f]+', '
                  || regexp_replace({_TEXT}, '<\|\w+\|>', '', 'g') as page_text from c)
     select page_id, page_text, length(page_text) as n_chars from t""")
 def html_text(spark, d):
-    facts = html.page_facts(table(spark, d, "pages").select("page_id", "url", "html"))
+    facts = html.page_facts(texts(spark, d, "pages").select("page_id", "url", "html"))
     out = facts.select("page_id", html.page_text("html").alias("page_text"))
     return out.withColumn("n_chars", F.length("page_text").cast("long"))
 
@@ -400,7 +400,7 @@ def _pages_with_head(spark, d):
         )).otherwise(F.lit('<script type="application/ld+json">[{"keywords": "x, y"}, {"articleSection": ["s1"]}]</script>')),
         F.lit('<script type="application/ld+json">not json</script>'),
     )
-    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    pages = texts(spark, d, "pages").select("page_id", "url", "html")
     return html.page_facts(pages.withColumn("html", F.replace("html", F.lit("<head>"), head)))
 
 
