@@ -124,7 +124,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) on the edge list:
     the number of rounds grows with the logarithm of the diameter, and the edge list never
-    grows. Each round's edges are checkpointed.
+    grows. Each round's edges are written out.
     """
     stars = cut_lineage(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()

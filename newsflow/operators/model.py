@@ -6,6 +6,7 @@ same ``id`` per row out. Defaults need no model and are native expressions.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -245,13 +246,15 @@ def extract_summary(df: DataFrame, key: str, text: str, top: int = 3) -> DataFra
     reading order. Apart from the document frequencies everything happens inside the row
     of a document, so texts are not shuffled.
     """
-    counts = document_frequencies(df, text).scalar()
-    total = df.select(F.count(F.lit(1))).scalar()
+    # One row of fixed size; as a literal it is looked up by index, without a join.
+    counts = document_frequencies(df, text).first()["counts"]
+    total = df.count()
+    weights = F.split(F.lit(",".join(repr(math.log((1 + total) / (1 + n))) for n in counts)), ",").cast("array<double>")
 
     def score(sentence: Column) -> Column:
         return F.round(F.aggregate(
             F.transform(_words(sentence), term_bucket), F.lit(0.0),
-            lambda a, b: a + F.ln((1 + F.col("_total")) / (1 + F.get(F.col("_counts"), b)))), 6)
+            lambda a, b: a + F.get(weights, b)), 6)
 
     pieces = F.split(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\n"), r"\n+")
     placed = F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), strip(s).alias("sentence")))
@@ -259,9 +262,7 @@ def extract_summary(df: DataFrame, key: str, text: str, top: int = 3) -> DataFra
     scored = F.transform(worded, lambda s: F.struct(
         (-score(s["sentence"])).alias("minus"), s["pos"].alias("pos"), s["sentence"].alias("sentence")))
     best = F.slice(F.array_sort(scored), 1, top)
-    # Both scalars end up inside the one projection that uses them, not as columns of rows.
-    known = df.withColumn("_total", total).withColumn("_counts", counts)
-    rows = known.select(key, best.alias("_best")).select(key, F.posexplode("_best").alias("_r", "s"))
+    rows = df.select(key, F.posexplode(best).alias("_r", "s"))
     return rows.select(key, (F.col("_r") + 1).alias("rank"), "s.pos", "s.sentence", (-F.col("s.minus")).alias("score"))
 
 

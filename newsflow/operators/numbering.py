@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.session import cut_lineage
+from newsflow.session import pin_partitions
 
 
 def _order(columns: Sequence[Column | str]) -> list[Column]:
@@ -24,7 +24,7 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], out: str = "row_nu
     """``out`` = 1..n in the order of ``order``."""
     keys = _order(order)
     # The checkpoint fixes the sampled range bounds: both reads below see the same partitions.
-    ranged = cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    ranged = pin_partitions(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
     placed = ranged.withColumn("_mono", F.monotonically_increasing_id()).withColumn(
         "_part", F.shiftright("_mono", 33)
     )
@@ -49,7 +49,7 @@ def number_within(
     """``out`` = 1..n inside each group; a group may be larger than one task can hold."""
     group = list(group)
     keys = _order(order)
-    ranged = cut_lineage(df.repartitionByRange(*_order(group), *keys))
+    ranged = pin_partitions(df.repartitionByRange(*_order(group), *keys))
     placed = ranged.withColumn("_part", F.spark_partition_id())
     within = Window.partitionBy("_part", *group).orderBy(*keys)
     # Only the first group of a partition can have rows in earlier partitions, so at most

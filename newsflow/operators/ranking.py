@@ -105,7 +105,7 @@ def bradley_terry(
     items finite that won or lost everything. Battles are reduced to one row per pair
     before the iterations, which join strengths onto pairs and sum per item. ``start`` holds
     earlier strengths ``(id, bt)`` to begin from. A strength is read twice per step, so
-    every step is checkpointed: lineage would otherwise double each time.
+    every step is written out: lineage would otherwise double each time.
     """
     ids = items.select(F.col(key).cast("long").alias("i"))
     known = battles.filter(F.col("winner") != F.col("loser"))
@@ -172,7 +172,8 @@ def tournament(
         return items.withColumn("bt", zero).withColumn("bt_z", zero)
     limit = math.ceil((n - 1) / (BATCH - 1))
     max_rounds = limit if rounds is None else min(rounds, limit)
-    seeded = number_rows(items.select(key, order).distinct(), [order, key], "_rn")
+    columns = list(dict.fromkeys([order, key]))
+    seeded = number_rows(items.select(columns), columns, "_rn")
     strength = seeded.select(key, positional_seed("_rn", n).alias("bt"))
     ranking = rank_windows(strength, key, "bt", window)
     battles = fitted = None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,10 +67,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the copy.
+    """Write ``df`` as a table in the shared folder and continue from the table.
 
-    The copy keeps the partitioning of ``df``, survives the loss of executors and is
-    evaluated once, so partition ids read from it are stable.
+    The table survives the loss of executors, is evaluated once, and is planned with its
+    true size. (A checkpoint keeps the size estimated for its plan; in a loop of joins those
+    estimates multiply every round until planning itself takes minutes.) Tables are kept
+    in one folder per application, which can be removed when it has ended.
     """
+    spark = df.sparkSession
+    root = shared_dir(spark).rstrip("/")
+    path = f"{root}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df``: evaluated once, partition ids stay as they are."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
