@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from newsflow.operators import vectors
 from newsflow.operators.dedup import top_per_key
-from newsflow.operators.skew import hot_keys, salted_join
 from newsflow.session import cut_lineage
 
 
@@ -205,12 +204,8 @@ def density_clusters(
     labels = members.join(chosen, ["level", "comp"]).select("vid", F.col("comp").alias("_c"))
     numbers = _dense_labels(labels)
     labels = labels.join(numbers, "_c").select("vid", "cluster")
-    owner = merged.select(F.col("vec").alias(vec), "vid")
     rows = df.select(key, F.col(vec).cast("array<double>").alias(vec))
-    keyed = rows.select(key, F.xxhash64(vec).alias("_h"), vec)
-    owners = owner.select(F.xxhash64(vec).alias("_h"), F.col(vec).alias("_v"), "vid")
-    hot = hot_keys(keyed, "_h")
-    owned = salted_join(keyed, owners, "_h", "inner", hot, [key]).filter(F.col(vec) == F.col("_v")).select(key, "vid")
+    owned = vectors.first_copies(rows, merged, key, vec)
     found = owned.join(labels, "vid", "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 

@@ -27,44 +27,29 @@ def unseen_items(
     ``source``, ``title``, ``created_at``. With ``since`` an item last seen after that time
     counts as new. An item without a URL stays. The second lookup only counts for
     items whose URL is not in the history.
+
+    One pass: rows that need no lookup get a key of their own, which spreads them evenly
+    and matches nothing that is not ruled out again by their flag.
     """
-    blank = F.coalesce(F.col("url"), F.lit("")) == ""
     by_url = _newest(
-        history.filter(F.col("initial_url") != "").withColumnRenamed("initial_url", "url"), ["url"], "_u_at"
+        history.filter(F.col("initial_url") != "").withColumnRenamed("initial_url", "_ukey"), ["_ukey"], "_u_at"
     ).withColumn("_u", F.lit(True))
-    by_title = (
-        _newest(history, ["source", "title"], "_t_at")
-        .withColumn("_st", F.struct("source", "title")).select("_st", "_t_at", F.lit(True).alias("_t"))
-    )
-    # Blank URLs can be very frequent and never match, so they skip both joins.
-    checked = items.filter(~blank)
-    first = salted_join(checked, by_url, "url", "left", hot_keys(checked, "url", hot_share), ["id"])
-    found_url = F.coalesce(F.col("_u"), F.lit(False))
-    kept_by_url = first.filter(found_url & _is_new(F.col("_u_at"), found_url, since))
-    open_items = first.filter(~found_url).withColumn("_st", F.struct("source", "title"))
-    second = _title_lookup(open_items, by_title, hot_share)
-    found_title = F.coalesce(F.col("_t"), F.lit(False))
-    kept = second.filter(_is_new(F.col("_t_at"), found_title, since))
-    columns = items.columns
-    parts = [items.filter(blank), kept.select(columns)]
-    if since is not None:
-        parts.append(kept_by_url.select(columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _title_lookup(items: DataFrame, by_title: DataFrame, hot_share: float) -> DataFrame:
-    key = F.xxhash64("_st.source", "_st.title")
-    left = items.withColumn("_k", key)
-    right = by_title.select(key.alias("_k"), F.col("_st").alias("_rst"), "_t_at", "_t")
-    hot = hot_keys(left, "_k", hot_share)
-    joined = salted_join(left, right.withColumn("_hash", F.col("_k")), "_k", "left", hot, ["id"])
-    # Rows that only share the hash are no match; one item meets at most one true match.
-    true_match = (F.col("_rst.source") == F.col("_st.source")) & (F.col("_rst.title") == F.col("_st.title"))
-    flagged = joined.withColumn("_t", F.coalesce(true_match, F.lit(False)))
-    return flagged.withColumn("_t_at", F.when(F.col("_t"), F.col("_t_at")))
+    by_title = _newest(history, ["source", "title"], "_t_at").select(
+        F.xxhash64("source", "title").alias("_tkey"), "source", "title", "_t_at", F.lit(True).alias("_t"))
+    blank = F.coalesce(F.col("url"), F.lit("")) == ""
+    own = F.concat(F.lit("#"), F.col("id").cast("string"))
+    rows = items.withColumn("_blank", blank).withColumn("_ukey", F.when(blank, own).otherwise(F.col("url")))
+    first = salted_join(rows, by_url, "_ukey", "left", hot_keys(rows, "_ukey", hot_share), ["id"])
+    found_url = ~F.col("_blank") & F.coalesce(F.col("_u"), F.lit(False))
+    title_key = F.xxhash64("source", "title")
+    keyed = first.withColumn("_found_url", found_url).withColumn(
+        "_tkey", F.when(F.col("_blank") | found_url, F.xxhash64("id", F.lit("own"))).otherwise(title_key))
+    hot = hot_keys(items.select(title_key.alias("_tkey")), "_tkey", hot_share)
+    second = salted_join(keyed, by_title, "_tkey", "left", hot, ["id"], also=("source", "title"))
+    found_title = ~F.col("_blank") & ~F.col("_found_url") & F.coalesce(F.col("_t"), F.lit(False))
+    seen_at = F.when(F.col("_found_url"), F.col("_u_at")).when(found_title, F.col("_t_at"))
+    judged = second.withColumn("_new", _is_new(seen_at, F.col("_found_url") | found_title, since))
+    return judged.filter("_new").select(items.columns)
 
 
 def unseen_after_redirect(
@@ -77,34 +62,30 @@ def unseen_after_redirect(
     contains the item's registered domain; the newest match counts. Items without a final
     URL stay.
     """
-    blank = F.coalesce(F.col("final_url"), F.lit("")) == ""
-    checked = items.filter(~blank)
+    filled = F.coalesce(F.col("final_url"), F.lit("")) != ""
     by_final = _newest(
-        history.filter(F.coalesce(F.col("final_url"), F.lit("")) != "").select("final_url", "created_at"),
-        ["final_url"], "_f_at",
+        history.filter(filled).select(F.col("final_url").alias("_fkey"), "created_at"), ["_fkey"], "_f_at"
     ).withColumn("_f", F.lit(True))
-    first = salted_join(
-        checked, by_final, "final_url", "left", hot_keys(checked, "final_url", hot_share), ["id"]
-    )
-    found_final = F.coalesce(F.col("_f"), F.lit(False))
-    kept_by_final = first.filter(found_final & _is_new(F.col("_f_at"), found_final, since))
-
+    own = F.concat(F.lit("#"), F.col("id").cast("string"))
     domain = registered_domain("final_url") if domain is None else domain
-    open_items = first.filter(~found_final).withColumn("_domain", domain)
-    lookup = open_items.filter((F.col("_domain") != "") & (F.coalesce(F.col("title"), F.lit("")) != ""))
-    matches = _title_domain_matches(lookup.select("title", "_domain").distinct(), history)
-    joined = open_items.join(matches, ["title", "_domain"], "left")
-    found = F.col("_m_at").isNotNull() | F.coalesce(F.col("_m"), F.lit(False))
-    kept = joined.filter(_is_new(F.col("_m_at"), found, since))
-
-    columns = items.columns
-    parts = [items.filter(blank), kept.select(columns)]
-    if since is not None:
-        parts.append(kept_by_final.select(columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = (
+        items.withColumn("_filled", filled).withColumn("_fkey", F.when(filled, F.col("final_url")).otherwise(own))
+        .withColumn("_domain", domain)
+    )
+    pair_key = F.xxhash64("title", "_domain")
+    lookup = rows.filter(F.col("_filled") & (F.col("_domain") != "") & (F.coalesce(F.col("title"), F.lit("")) != ""))
+    matches = _title_domain_matches(lookup.select("title", "_domain").distinct(), history).select(
+        pair_key.alias("_pkey"), "title", "_domain", "_m_at", F.lit(True).alias("_m"))
+    first = salted_join(rows, by_final, "_fkey", "left", hot_keys(rows, "_fkey", hot_share), ["id"])
+    found_final = F.col("_filled") & F.coalesce(F.col("_f"), F.lit(False))
+    keyed = first.withColumn("_found_final", found_final).withColumn(
+        "_pkey", F.when(~F.col("_filled") | found_final, F.xxhash64("id", F.lit("own"))).otherwise(pair_key))
+    hot = hot_keys(rows.select(pair_key.alias("_pkey")), "_pkey", hot_share)
+    second = salted_join(keyed, matches, "_pkey", "left", hot, ["id"], also=("title", "_domain"))
+    found_pair = F.col("_filled") & ~F.col("_found_final") & F.coalesce(F.col("_m"), F.lit(False))
+    seen_at = F.when(F.col("_found_final"), F.col("_f_at")).when(found_pair, F.col("_m_at"))
+    judged = second.withColumn("_new", _is_new(seen_at, F.col("_found_final") | found_pair, since))
+    return judged.filter("_new").select(items.columns)
 
 
 def _title_domain_matches(pairs: DataFrame, history: DataFrame) -> DataFrame:
@@ -132,5 +113,5 @@ def _title_domain_matches(pairs: DataFrame, history: DataFrame) -> DataFrame:
         asked.join(seen.withColumn("_gram", F.explode(F.array_distinct(grams))), ["title", "_gram"])
         .filter(F.contains(F.col("_urls"), domain))
         .groupBy("title", "_domain")
-        .agg(F.max("created_at").alias("_m_at"), F.lit(True).alias("_m"))
+        .agg(F.max("created_at").alias("_m_at"))
     )

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.functions.arrays import bind
+from newsflow.operators.skew import hot_keys, salted_join
 
 CHUNK = 2048
 MAX_PIVOTS = 512
@@ -41,6 +42,17 @@ def merge_copies(df: DataFrame, key: str, vec: str) -> DataFrame:
     )
 
 
+def first_copies(df: DataFrame, merged: DataFrame, key: str, vec: str) -> DataFrame:
+    """``(key, vid)``: every row with the first copy of its vector.
+
+    A vector with a large share of the rows is salted; rows are matched by hash and vector.
+    """
+    rows = df.select(key, F.xxhash64(vec).alias("_h"), F.col(vec).alias("_v"))
+    owners = merged.select(F.xxhash64("vec").alias("_h"), F.col("vec").alias("_v"), "vid")
+    joined = salted_join(rows, owners, "_h", "inner", hot_keys(rows, "_h"), [key], also=("_v",))
+    return joined.select(key, "vid")
+
+
 def choose_pivots(df: DataFrame, n_rows: int, key: str = "vid", vec: str = "vec") -> np.ndarray:
     """Evenly hashed sample of vectors as cell centres; at most ``MAX_PIVOTS`` rows."""
     wanted = max(1, min(MAX_PIVOTS, n_rows // CHUNK))
