@@ -273,5 +273,6 @@ def stream_unseen(spark, d):
     incoming = stream.select(
         F.col("doc_id").alias("id"), url.alias("url"), "source", F.col("doc_id").cast("string").alias("title"), F.lit(True).alias("isAI"),
         published.alias("published"))
-    run(incoming, f"{root}/history", f"{root}/out", f"{root}/state", late="30 days").awaitTermination()
+    run(incoming, f"{root}/history", f"{root}/out", f"{root}/state", late="30 days",
+        state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("url")

@@ -52,8 +52,8 @@ def texts_by_path(df: DataFrame, texts: DataFrame, path: str = "text_path") -> D
 def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file under ``folder``; files that vanish or are broken are passed over."""
     return (
-        spark.read.options(wholetext=True, ignoreMissingFiles=True, ignoreCorruptFiles=True)
-        .text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        spark.read.options(ignoreMissingFiles=True, ignoreCorruptFiles=True)
+        .text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     )
 
 

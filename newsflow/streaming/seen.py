@@ -13,13 +13,14 @@ from newsflow.sources.sinks import history_rows, write_history
 
 def stream_unseen(
     items: DataFrame, history_root: str, out: str, checkpoint: str, event_time: str = "published",
-    late: str = "2 days", trigger_once: bool = True,
+    late: str = "2 days", trigger_once: bool = True, state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Write the new items of a stream to ``out`` and record every item in the history.
 
     ``items`` is a streaming frame with ``id``, ``url``, ``source``, ``title``, ``isAI`` and
     the event time. Repeats within the watermark are dropped by Spark's state; what came in
     earlier batches is found in the history, of which every batch writes the next version.
+    ``state_partitions`` fixes the number of state partitions when the stream first starts.
     A batch that runs again after a failure reads the version before it and overwrites its
     own output, so it leaves the same result.
     """
@@ -39,4 +40,11 @@ def stream_unseen(
     writer = fresh.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if trigger_once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    conf = items.sparkSession.conf
+    usual = conf.get("spark.sql.shuffle.partitions")
+    if state_partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
