@@ -1,7 +1,7 @@
 """Stages of a news run as functions from tables to tables.
 
-Each stage selects what it needs and returns one frame; callers write it with
-``sinks.write_snapshot`` and start the next stage from the stored copy.
+Each stage selects what it needs and returns one stored table, as operators read their input
+several times. Callers keep a copy per session with ``sinks.write_snapshot``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions import scores, text, urls
 from newsflow.operators import clustering, dedup, edits, history, mmr, model, neardup
+from newsflow.session import cut_lineage
 from newsflow.sources import html
 
 
@@ -18,7 +19,8 @@ def filter_items(items: DataFrame, seen: DataFrame, relevance: DataFrame, since:
     """Items with a new URL, once each, that a model (``id``, ``isAI``) calls relevant."""
     unique = dedup.first_per_key(items.withColumn("url", urls.clean_url("url")), ["url"], ["id"])
     new = history.unseen_items(unique, seen, since)
-    return new.join(relevance.select("id", "isAI"), "id", "left").filter(F.coalesce("isAI", F.lit(False)))
+    judged = new.join(relevance.select("id", "isAI"), "id", "left")
+    return cut_lineage(judged.filter(F.coalesce("isAI", F.lit(False))))
 
 
 def read_pages(items: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
@@ -29,7 +31,8 @@ def read_pages(items: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
         "url", html.final_url("url").alias("final_url"), html.description().alias("description"), html.tags().alias("tags"),
         html.last_updated(now).alias("last_updated"), content.alias("text"),
     ).withColumn("content_length", F.coalesce(F.length("text"), F.lit(0)))
-    return items.join(parts, "url", "left").withColumn("content_length", F.coalesce("content_length", F.lit(0)))
+    joined = items.join(parts, "url", "left")
+    return cut_lineage(joined.withColumn("content_length", F.coalesce("content_length", F.lit(0))))
 
 
 def unique_articles(
@@ -38,10 +41,10 @@ def unique_articles(
 ) -> DataFrame:
     """Longest copy per final URL, new after redirects, without near duplicates, with site data."""
     best = dedup.first_per_key(articles, ["final_url"], [F.desc("content_length"), "id"])
-    new = history.unseen_after_redirect(best, seen, since)
+    new = cut_lineage(history.unseen_after_redirect(best, seen, since))
     kept = neardup.drop_near_duplicates(new, embeddings, threshold=threshold)
     address = F.coalesce(F.nullif("final_url", F.lit("")), F.col("url"))
-    return model.add_sites(kept.withColumn("domain", urls.registered_domain(address)), sites)
+    return cut_lineage(model.add_sites(kept.withColumn("domain", urls.registered_domain(address)), sites))
 
 
 def rate_articles(articles: DataFrame, verdicts: DataFrame, strengths: DataFrame, now: Column) -> DataFrame:
@@ -53,7 +56,7 @@ def rate_articles(articles: DataFrame, verdicts: DataFrame, strengths: DataFrame
     rating = scores.composite_rating(
         "reputation", scores.length_score("content_length"), "on_topic", "important", "low_quality", F.lit(0.0),
         scores.recency_score("age"))
-    return joined.withColumn("rating", rating + F.coalesce(scores.tournament_points("bt_z"), F.lit(0.0)))
+    return cut_lineage(joined.withColumn("rating", rating + F.coalesce(scores.tournament_points("bt_z"), F.lit(0.0))))
 
 
 def cluster_articles(articles: DataFrame, embeddings: DataFrame, **options) -> DataFrame:
@@ -62,12 +65,12 @@ def cluster_articles(articles: DataFrame, embeddings: DataFrame, **options) -> D
     labels = clustering.density_clusters(vecs, "id", "embedding", **options)
     labelled = articles.join(labels, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     names = clustering.name_clusters(labelled, "cluster", "topics").select("cluster", F.col("name").alias("cluster_label"))
-    return labelled.join(names, "cluster", "left")
+    return cut_lineage(labelled.join(names, "cluster", "left"))
 
 
 def select_stories(articles: DataFrame, embeddings: DataFrame, total: int = 100) -> DataFrame:
     """The stories of an issue in section order: must-haves, a diverse rest, small sections merged."""
-    chosen = mmr.tiered_select(articles, embeddings, total)
+    chosen = cut_lineage(mmr.tiered_select(articles, embeddings, total))
     named = chosen.withColumn("cat", text.or_other("cat")).withColumn("section_title", F.col("cat"))
     merged = edits.singles_to_other(named)
-    return edits.add_section_order(merged, edits.section_order(merged))
+    return cut_lineage(edits.add_section_order(merged, edits.section_order(merged)))
