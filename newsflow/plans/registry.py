@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsflow.session import spread
+from newsflow.session import ship_package, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +23,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``oracle`` is the same result as SQL over the plain tables."""
 
     def add(function: Query) -> Query:
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, folder)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return function
