@@ -38,7 +38,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of every node move to its smallest."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -48,23 +48,27 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link and no root has any: then the links are the answer."""
+    children = links.groupBy("a").agg(F.count("*").alias("n"))
+    if not children.filter("n > 1").isEmpty():
+        return False
+    return links.join(children.select(F.col("a").alias("child")), F.col("b") == F.col("child"), "left_semi").isEmpty()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b: long), root being the smallest of its component.
+    """(node, root) of every node of ``links`` (a, b: long) that is not itself the smallest of its component, with the smallest.
 
     Repeated links, loops and both directions are allowed; links with a null don't count. An empty
     table has no nodes. Only the smallest neighbour is kept per node and task before a shuffle; the rows of
     a hub are spread by the join on it, which Spark splits. Each round writes its links as a table and
-    deletes the ones before. Raises if ``most_rounds`` are not enough (rounds grow with the logarithm of the nodes).
+    deletes the one before. Raises if ``most_rounds`` are not enough (rounds grow with the logarithm of the nodes).
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
-    loops = None
     now = written(links.mapInArrow(_union_find, "a long, b long").distinct(), "links")
-    before = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        loops, now = now, written(_small_star(_large_star(now)), "links")
-        drop(loops)
+        before, now = now, written(_small_star(_large_star(now)), "links")
+        drop(before)
     raise RuntimeError(f"components are not stable after {most_rounds} rounds")

@@ -2,11 +2,11 @@
 
 1. One pass over the texts gives each document the size and a 128-bit fingerprint of its shingle
    set and its band keys. Documents with the same set are one class, represented by the smallest id.
-2. Classes that share a band key are candidates. All pairs of a bucket are not made: a few random
-   members, the hubs, are compared with the members that are in another component so far. Verified
-   links join components; buckets that have become one component are done. Then more hubs
-   follow, until every member of a bucket that still has several components has been one. So each pair
-   of a bucket is compared, or is connected without it; none is given up.
+2. Classes that share a band key are candidates, if their set sizes and signatures allow the similarity at
+   all. All pairs of a bucket are not made: first its most popular member, the hub, is compared with
+   the others. Verified links join components; buckets that have become one component are done. Then
+   more hubs follow, compared with members of other components, until every member of a bucket
+   that still has several has been one. So each pair of a bucket is compared, or is connected without it.
 3. Components of the links, and each document's class, give the result.
 """
 
@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 
 from newsflow.llm.components import components
 from newsflow.llm.store import drop, written
-from newsflow.llm.superminhash import band_keys, shingle_sets, signatures
+from newsflow.llm.superminhash import band_keys, fragments, shingle_sets, signatures
 from newsflow.llm.words import members, mix, slices, words_of
 
 # Bands and slots per band: a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**27 < 1e-6.
 BANDS, ROWS = 27, 4
-#: Hubs per bucket in the first round; each later round has 16 times as many.
-HUBS, MORE = 4, 16
+#: Random hubs per bucket in the second round; each later round has 16 times as many.
+HUBS, MORE = 8, 16
 
 
 def set_table(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, p1, p2, bands) per row; a text without words has n_shingles 0."""
+    """(doc_id, n_shingles, p1, p2, bands, slots) per row; a text without words has n_shingles 0."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
@@ -42,14 +42,16 @@ def set_table(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS)
                 prints = np.zeros((2, n), np.uint64)
                 for i, scrambled in enumerate((mix(keys), mix(keys ^ np.uint64(0x5DEECE66D)))):
                     np.add.at(prints[i], owner, scrambled)
-                found = band_keys(signatures(keys, owner, n, bands * rows), bands, rows).astype(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), found.ravel())
+                signed = signatures(keys, owner, n, bands * rows)
+                lists = [
+                    pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], x.view(np.int64).ravel())
+                    for x in (band_keys(signed, bands, rows), fragments(signed))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, n), pa.array(size), *(pa.array(p.astype(np.int64)) for p in prints), lists],
-                    ["doc_id", "n_shingles", "p1", "p2", "bands"])
+                    [batch.column("doc_id").slice(start, n), pa.array(size), *(pa.array(p.astype(np.int64)) for p in prints), *lists],
+                    ["doc_id", "n_shingles", "p1", "p2", "bands", "slots"])
 
     rows_ = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows_.mapInArrow(sets, "doc_id long, n_shingles long, p1 long, p2 long, bands array<long>")
+    return rows_.mapInArrow(sets, "doc_id long, n_shingles long, p1 long, p2 long, bands array<long>, slots array<long>")
 
 
 def verified_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -72,39 +74,68 @@ def verified_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int)
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, root) over representatives that are linked with another, and the tables to keep until it is read."""
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"))
-    # u: a fixed random place of each member in its bucket; the hubs of a round are the next stretch of it.
+def _may_link(slots: int, percent: int):
+    """Whether the sizes and signatures of x and y (n, s) allow a link.
+
+    The signature test is six standard deviations below what a pair at the threshold agrees in, a chance
+    of 1e-9 per pair, less than that of sharing no band.
+    """
+    share = percent / 100
+    least = int(slots * share - 6 * (slots * share * (1 - share)) ** 0.5)
+    def unlike(a, b):
+        x = a.bitwiseXOR(b)
+        for step in (4, 2, 1):  # each byte's lowest bit: whether any of its bits is set
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    different = F.aggregate(F.zip_with("x.s", "y.s", unlike), F.lit(0), lambda total, n: total + n)
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return sizes & (different <= slots - least)
+
+
+def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, slots: int) -> DataFrame:
+    """(node, root) of the representatives that are linked with a smaller one."""
+    keyed = classes.select("rep", "n", "s", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # u: a fixed random place of each member in its bucket; a round's hubs are the next stretch of it.
     place = (F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    live = written(keyed.join(sizes.filter("size > 1"), "key").select("key", "rep", "size", place), "buckets")
-    spark = docs.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
-    tested = spark.createDataFrame([], "a long, b long")
-    low, hubs = 0.0, HUBS
+    live = written(keyed.join(sizes, "key").select("key", "rep", "n", "s", "size", place), "buckets")
+    # The member whose buckets are largest is nearest to the middle of its group.
+    liked = live.groupBy("rep").agg(F.sum("size").alias("liked"))
+    hub = live.select("key", "rep").join(liked, "rep").groupBy("key").agg(F.max(F.struct("liked", "rep"))["rep"].alias("rep"))
+    hubs = hub.join(live.select("key", "rep", "n", "s"), ["key", "rep"])
+    may = _may_link(slots, percent)
+    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    pairs = live.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.rep") != F.col("y.rep")).filter(may)
+    tested = written(pairs.select(*pair).distinct(), "pairs")
+    roots = components(verified_links(tested, docs, width, percent))
+    low, high = 0, HUBS
     while True:
-        labelled = live.join(roots, live["rep"] == roots["node"], "left").select("key", "rep", "size", "u", F.coalesce("root", "rep").alias("root"))
-        split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        labelled = written(labelled.join(split.select("key"), "key"), "buckets")
-        if labelled.isEmpty():
-            return roots, []
-        stretch = (F.col("u") >= low / F.col("size")) & (F.col("u") < hubs / F.col("size"))
-        hub = labelled.filter(stretch).select("key", F.col("rep").alias("h"), F.col("root").alias("hr"))
-        other = labelled.filter(F.col("u") >= low / F.col("size"))
-        pairs = other.join(hub, "key").filter("rep <> h and root <> hr").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
+        rooted = live.join(roots, live["rep"] == roots["node"], "left").select("key", "rep", "n", "s", "size", "u", F.coalesce("root", "rep").alias("root"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+        before, live = live, written(rooted.join(split, "key"), "buckets")
+        drop(before)
+        largest = live.agg(F.max("size")).first()[0]
+        if largest is None or low >= largest:
+            return roots
+        # A pair waits for its second member's turn as hub while its first is of the smaller component.
+        weight = live.groupBy("key", "root").agg(F.count("*").alias("weight"))
+        weighed = live.join(weight, ["key", "root"])
+        stretch = (F.col("u") >= low / F.col("size")) & (F.col("u") < high / F.col("size"))
+        turn = (F.col("x.u") < F.col("y.u")) | (F.col("x.weight") <= F.col("y.weight"))
+        pairs = weighed.alias("x").join(weighed.filter(stretch).alias("y"), F.col("x.key") == F.col("y.key"))
+        pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(turn).filter(may).select(*pair).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = verified_links(pairs, docs, width, percent)
-        links = found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
-        largest = labelled.agg(F.max("size")).first()[0]
-        if hubs >= largest:
-            return roots, []
+        roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         tested = tested.unionByName(pairs)
-        drop(live)
-        live = labelled.drop("root")
-        live.path = labelled.path
-        low, hubs = hubs, hubs * MORE
+        live = live.drop("root").transform(lambda df, path=live.path: _at(df, path))
+        low, high = high, high * MORE
+
+
+def _at(df: DataFrame, path: str) -> DataFrame:
+    df.path = path
+    return df
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -121,9 +152,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     full = table.filter("n_shingles > 0 and doc_id is not null")
     print_ = ["p1", "p2", "n_shingles"]
     classes = full.groupBy(*print_).agg(F.min("doc_id").alias("rep"))
-    banded = full.select("doc_id", *print_, "bands").join(classes, print_).filter("doc_id = rep").select("rep", "bands").distinct()
-    roots, _ = _links(docs, banded, width, percent)
-    # Rows of one id with several sets tie the classes of these sets.
+    banded = full.join(classes, print_).filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.col("slots").alias("s"), "bands")
+    roots = _links(docs, banded.dropDuplicates(["rep", "bands"]), width, percent, bands * rows)
+    # Rows that share an id tie the classes of their sets.
     classes = classes.join(roots, classes["rep"] == roots["node"], "left").select(*print_, F.coalesce("root", "rep").alias("root"))
     own = full.select("doc_id", *print_).join(classes, print_).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     rest = table.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

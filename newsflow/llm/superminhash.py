@@ -99,3 +99,11 @@ def band_keys(table: np.ndarray, bands: int, rows: int) -> np.ndarray:
     weights = powers(rows + 1)[1:]
     parts = mix(table[:, :bands * rows]).reshape(len(table), bands, rows)
     return mix((parts * weights).sum(axis=2, dtype=np.uint64) + _STEP * (1 + np.arange(bands, dtype=np.uint64)))
+
+
+def fragments(table: np.ndarray) -> np.ndarray:
+    """(n, slots / 8 rounded up) words of 64 bits with eight bits of each slot, to compare signatures without unpacking."""
+    n, slots = table.shape
+    out = np.zeros((n, -(-slots // 8) * 8), np.uint8)
+    out[:, :slots] = (mix(table) >> np.uint64(40)).astype(np.uint8)
+    return out.view(np.uint64)
