@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from newsflow.llm.labelled import labelled_texts
 from newsflow.llm.text_stats import SHAPES, basic, scan, shapes
@@ -167,5 +168,5 @@ def quality_rules(docs: DataFrame, trees: FlatTrees, key: str = "doc_id", thresh
             columns += [failed, score, score >= threshold, ~failed & (score >= threshold)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *map(pa.array, columns)], ["key", *[c.split()[0] for c in RULES.split(", ")]])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), "text").mapInArrow(judge, f"key {kind}, {RULES}").withColumnRenamed("key", key)
+    schema = StructType([StructField("key", docs.schema[key].dataType), *StructType.fromDDL(RULES).fields])
+    return docs.select(F.col(key).alias("key"), "text").mapInArrow(judge, schema).withColumnRenamed("key", key)

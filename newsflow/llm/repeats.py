@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsflow.llm.recompression import window_symbols
-from newsflow.llm.store import drop, written
+from newsflow.llm.store import drop, quoted, written
 from newsflow.llm.words import Words, join_prints, members, mix, slices, windows, word_prints, words_of
 
 
@@ -113,7 +114,7 @@ def _cut(docs: DataFrame, width: int) -> DataFrame:
                     [batch.column("key").slice(start, n), pa.array(words.counts), pa.array(np.bincount(doc[gone], minlength=n)),
                      _spans(gone, words), _kept(words, gone)], ["key", "n_words", "n_removed", "spans", "kept"])
 
-    return docs.mapInArrow(cut, f"key {docs.schema['key'].dataType.simpleString()}, {SPANS}")
+    return docs.mapInArrow(cut, StructType([docs.schema["key"], *StructType.fromDDL(SPANS).fields]))
 
 
 def _spans(gone: np.ndarray, words: Words) -> pa.ListArray:
@@ -145,8 +146,8 @@ def _kept(words: Words, gone: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(words.counts), [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.string())
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_removed, spans, kept) of every document.
+def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id", whole_rows: bool = False) -> DataFrame:
+    """(key, n_words, n_removed, spans, kept) of every document; with ``whole_rows``, all its columns as a struct named row for the key.
 
     A window is ``width`` consecutive words of one document; words covered by a window whose words also
     begin in a document with a smaller id are removed; spans holds the removed stretches as word
@@ -154,8 +155,8 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id") -> Dat
     window keep all. Rows that share an id don't count as earlier than each other, and rows without an id
     are neither searched nor cut. Other columns are not read.
     """
-    named = docs.select(F.col(key).alias("key"), "text")
-    known = named.select(F.col("key").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    named = docs.select((F.struct(*map(quoted, docs.columns)) if whole_rows else quoted(key)).alias("key"), quoted(key).cast("long").alias("own"), "text")
+    known = named.select(F.col("own").alias("doc_id"), "text").filter("doc_id is not null")
     table = written(symbol_table(known, width), "symbols")
     uses = table.select("doc_id", F.explode("symbols").alias("symbol"))
     shared = uses.groupBy("symbol").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("symbol")
@@ -172,5 +173,5 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id") -> Dat
     hits = found.join(earlier.select("symbol", "print", "low"), ["symbol", "print"]).filter("doc_id > low")
     hits = hits.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     marks = hits.join(copies.select("doc_id", "copies"), "doc_id", "full").withColumnRenamed("doc_id", "id")
-    cut = _cut(named.join(marks, F.col("key").cast("long") == F.col("id"), "left").select("key", "text", "prints", "copies"), width)
-    return cut.withColumnRenamed("key", key)
+    cut = _cut(named.join(marks, F.col("own") == F.col("id"), "left").select("key", "text", "prints", "copies"), width)
+    return cut.withColumnRenamed("key", "row" if whole_rows else key)
