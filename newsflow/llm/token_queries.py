@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from newsflow.llm.coding import coded
 from newsflow.llm.packing import pack
 from newsflow.llm.queries import query, table
 from newsflow.llm.store import small_input
@@ -19,3 +20,9 @@ SEQUENCE, END = 2048, 0
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = small_input(table(spark, folder, "documents").select("doc_id", "text"))
     return pack(token_pieces(docs, public_tokenizers.path(WORD_BPE), SEQUENCE, END), SEQUENCE)
+
+
+@query("op7_bpe_transducer")
+def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    docs = small_input(table(spark, folder, "documents").select("doc_id", "text"))
+    return coded(docs, public_tokenizers.path(WORD_BPE))
