@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from newsflow.llm.coding import coded
 from newsflow.llm.packing import pack
 from newsflow.llm.queries import query, table
-from newsflow.llm.store import small_input
+from newsflow.llm.store import new_folder, small_input
+from newsflow.llm.token_files import read_tokens, write_tokens
 from newsflow.llm.token_pieces import token_pieces
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,3 +27,9 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     docs = small_input(table(spark, folder, "documents").select("doc_id", "text"))
     return coded(docs, public_tokenizers.path(WORD_BPE))
+
+
+@query("op2_wavelet_token_files")
+def wavelet_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    shards = write_tokens(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), 2, new_folder(spark, "tokens"))
+    return read_tokens(shards)
