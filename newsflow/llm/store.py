@@ -16,10 +16,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, kept when executors are lost."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: computed once, kept when executors are lost.
+
+    The table stands for its plan from then on, so that Spark may delete the plan's shuffle files at once.
+    """
+    spark = df.sparkSession
+    path, cleanup = new_folder(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out
 
