@@ -94,6 +94,6 @@ def window_symbols(words: Words, prints: np.ndarray, width: int, rounds: int = R
     for size in range(2, width + 1):
         np.maximum(best[size], best[size - 1], out=best[size])
     out = best[width].copy()
-    for step in range(1, width):
+    for step in range(1, min(width, n)):
         np.maximum(out[:n - step], best[width - step][step:], out=out[:n - step])
     return out
