@@ -4,9 +4,9 @@
    set and its band keys. Documents with the same set are one class, represented by the smallest id.
 2. Classes that share a band key are candidates, if their set sizes and signatures allow the similarity at
    all. All pairs of a bucket are not made: first its most popular member, the hub, is compared with
-   the others. Verified links join components; buckets that have become one component are done. Then
-   more hubs follow, compared with members of other components, until every member of a bucket
-   that still has several has been one. So each pair of a bucket is compared, or is connected without it.
+   the others. Verified links join components; buckets that have become one component are done. In the
+   others, the members outside of the largest component are compared with all members, in blocks of
+   documents that share a hub. So each pair of a bucket is compared, or is connected without it.
 3. Components of the links, and each document's class, give the result.
 """
 
@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsflow.llm.components import components
-from newsflow.llm.store import drop, written
+from newsflow.llm.store import written
 from newsflow.llm.superminhash import band_keys, fragments, shingle_sets, signatures
 from newsflow.llm.words import members, mix, slices, words_of
 
 # Bands and slots per band: a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**27 < 1e-6.
 BANDS, ROWS = 27, 4
-#: Random hubs per bucket in the second round; each later round has 16 times as many.
-HUBS, MORE = 8, 16
+#: Documents whose sets a task holds at once in the second round, about.
+BLOCK = 256
 
 
 def set_table(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -97,45 +97,87 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int, slots:
     """(node, root) of the representatives that are linked with a smaller one."""
     keyed = classes.select("rep", "n", "s", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    # u: a fixed random place of each member in its bucket; a round's hubs are the next stretch of it.
-    place = (F.pmod(F.xxhash64("rep", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u")
-    live = written(keyed.join(sizes, "key").select("key", "rep", "n", "s", "size", place), "buckets")
+    live = written(keyed.join(sizes, "key").select("key", "rep", "n", "s", "size"), "buckets")
     # The member whose buckets are largest is nearest to the middle of its group.
     liked = live.groupBy("rep").agg(F.sum("size").alias("liked"))
-    hub = live.select("key", "rep").join(liked, "rep").groupBy("key").agg(F.max(F.struct("liked", "rep"))["rep"].alias("rep"))
-    hubs = hub.join(live.select("key", "rep", "n", "s"), ["key", "rep"])
-    may = _may_link(slots, percent)
+    hubs = written(live.select("key", "rep").join(liked, "rep").groupBy("key").agg(F.max(F.struct("liked", "rep")).alias("top")), "hubs")
+    told = hubs.select("key", F.col("top.rep").alias("rep")).join(live.select("key", "rep", "n", "s"), ["key", "rep"])
     pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-    pairs = live.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.rep") != F.col("y.rep")).filter(may)
-    tested = written(pairs.select(*pair).distinct(), "pairs")
-    roots = components(verified_links(tested, docs, width, percent))
-    low, high = 0, HUBS
-    while True:
-        rooted = live.join(roots, live["rep"] == roots["node"], "left").select("key", "rep", "n", "s", "size", "u", F.coalesce("root", "rep").alias("root"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-        before, live = live, written(rooted.join(split, "key"), "buckets")
-        drop(before)
-        largest = live.agg(F.max("size")).first()[0]
-        if largest is None or low >= largest:
-            return roots
-        # A pair waits for its second member's turn as hub while its first is of the smaller component.
-        weight = live.groupBy("key", "root").agg(F.count("*").alias("weight"))
-        weighed = live.join(weight, ["key", "root"])
-        stretch = (F.col("u") >= low / F.col("size")) & (F.col("u") < high / F.col("size"))
-        turn = (F.col("x.u") < F.col("y.u")) | (F.col("x.weight") <= F.col("y.weight"))
-        pairs = weighed.alias("x").join(weighed.filter(stretch).alias("y"), F.col("x.key") == F.col("y.key"))
-        pairs = pairs.filter(F.col("x.root") != F.col("y.root")).filter(turn).filter(may).select(*pair).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = verified_links(pairs, docs, width, percent)
-        roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        tested = tested.unionByName(pairs)
-        live = live.drop("root").transform(lambda df, path=live.path: _at(df, path))
-        low, high = high, high * MORE
-
-
-def _at(df: DataFrame, path: str) -> DataFrame:
-    df.path = path
-    return df
+    pairs = live.alias("x").join(told.alias("y"), F.col("x.key") == F.col("y.key")).filter(F.col("x.rep") != F.col("y.rep"))
+    roots = components(verified_links(pairs.filter(_may_link(slots, percent)).select(*pair).distinct(), docs, width, percent))
+    rooted = live.join(roots, live["rep"] == roots["node"], "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    weights = rooted.groupBy("key", "root").agg(F.count("*").alias("weight")).groupBy("key")
+    main = weights.agg(F.max(F.struct("weight", "root"))["root"].alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    # Members that share their most popular hub are dealt to the same few blocks.
+    home = live.select("key", "rep").join(hubs, "key").groupBy("rep").agg(F.max("top")["rep"].alias("home"))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    homes = home.groupBy("home").agg(F.count("*").alias("size"))
+    dealt = home.join(homes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), blocks)).alias("block"))
+    open_ = written(rooted.join(main, "key").join(dealt, "rep"), "open")
+    targets = open_.select("key", "block").distinct()
+    asked = open_.filter("root <> main").select("key", "rep", "root").join(targets, "key").select("block", F.lit(1).alias("kind"), "rep", "root").distinct()
+    resident = open_.select("block", F.lit(0).alias("kind"), "rep", "root").distinct()
+    found = block_links(resident.unionByName(asked), docs, width, percent)
+    return components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def block_links(rows: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the documents asked about (kind 1) and the residents (kind 0) of each block.
+
+    A task holds the sets of one block, at most about BLOCK documents, and takes the asked ones one by one; of the residents
+    of a component that a document is linked with, it names one.
+    """
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, index = None, [], None
+        for batch in batches:
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+                if blocks[begin] != block:
+                    block, held, index = blocks[begin], [], None
+                part = batch.slice(begin, end - begin)
+                for start, stop in slices(part.column("text")):
+                    n = stop - start
+                    keys, owner = shingle_sets(words_of(part.column("text").slice(start, n), lower=True), width)
+                    ids, root = (part.column(c).slice(start, n).to_numpy() for c in ("rep", "root"))
+                    if kinds[begin] == 0:
+                        held.append((keys, owner, ids, root))
+                        continue
+                    if index is None:
+                        index = _index(held)
+                    links = _probe(index, keys, owner, ids, root, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null")
+    met = rows.join(texts, "rep").repartition("block").sortWithinPartitions("block", "kind")
+    return met.select("block", "kind", "rep", "root", "text").mapInArrow(search, "a long, b long")
+
+
+def _index(held: list[tuple]) -> tuple:
+    """Sorted shingles of a block with their owners, and the owners' set sizes, ids and components."""
+    first = np.cumsum([0, *(len(h[2]) for h in held)])
+    keys = np.concatenate([h[0] for h in held])
+    owner = np.concatenate([h[1] + f for h, f in zip(held, first)])
+    order = np.argsort(keys, kind="stable")
+    ids, roots = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+    return keys[order], owner[order], np.bincount(owner, minlength=len(ids)), ids, roots
+
+
+def _probe(index: tuple, keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, roots: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    known, whose, sizes, others, components_ = index
+    a, b = [], []
+    low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, "right")
+    first = np.searchsorted(owner, np.arange(len(ids) + 1))
+    for i in range(len(ids)):
+        s, e = low[first[i]:first[i + 1]], high[first[i]:first[i + 1]]
+        count = e - s
+        at = np.arange(int(count.sum())) + np.repeat(s - (np.cumsum(count) - count), count)
+        common = np.bincount(whose[at], minlength=len(sizes))
+        good = (100 * common >= percent * (sizes + len(s) - common)) & (common > 0) & (components_ != roots[i])
+        for j in np.unique(components_[good], return_index=True)[1].tolist():
+            a.append(int(ids[i]))
+            b.append(int(others[np.flatnonzero(good)[j]]))
+    return a, b
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
