@@ -24,6 +24,10 @@ DEFAULT_SUFFIXES = (
     "mx", "com.mx", "ca", "il", "co.il", "is", "example",
 )
 
+# Second-level labels that are suffixes under any two-letter one, listed or not.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*|[0-9a-f]*:.*)$"
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
@@ -110,24 +114,30 @@ def not_blocked(url: Column | str, hosts: Sequence[str]) -> Column:
 def registered_domain(url: Column | str, suffixes: Sequence[str] = DEFAULT_SUFFIXES) -> Column:
     """Registered domain of a URL or bare host, '' for null or an empty host.
 
-    The longest listed suffix decides. A host without a listed suffix yields its last
-    label and one that is nothing but a suffix yields ''. Suffix lists too long for a
-    literal go through :func:`with_registered_domain`.
+    The longest suffix decides: listed ones, a general second-level label before two letters
+    (``gov.br``), else the last label of a host with several. A host that is nothing but a suffix
+    yields '', a single label that is none yields itself, and a numeric address is its own domain.
+    Suffix lists too long for a literal go through :func:`with_registered_domain`.
     """
     name = _bare_host(url)
     labels = F.split(name, r"\.")
     known = F.array(*[F.lit(s) for s in suffixes])
     tails = bind(labels, lambda parts: F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
-    cut = F.array_position(F.transform(tails, lambda t: F.array_contains(known, t)), True)
+    listed = lambda t: F.array_contains(known, t) | t.rlike(_GENERAL)
+    cut = F.array_position(F.transform(tails, listed), True)
     return (
         F.when(name == "", "")
+        .when(name.rlike(_ADDRESS), name)
         .when(cut > 1, F.get(tails, (cut - 2).cast("int")))
         .when(cut == 1, "")
-        .otherwise(F.element_at(labels, -1))
+        .otherwise(F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), "."))
     )
 
 
+_GENERAL = rf"^(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$"
+
+
 def _bare_host(url: Column | str) -> Column:
     url = F.coalesce(_col(url), F.lit(""))
     return F.when(url.contains("//"), host(url)).otherwise(
@@ -149,17 +159,17 @@ def with_registered_domain(df: DataFrame, url: str, suffixes: DataFrame, out: st
             F.sequence(F.lit(1), F.size(labels)),
             lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_p", "_tail"))
     )
-    found = (
-        tails.join(suffixes.select(F.col("suffix").alias("_tail")).distinct(), "_tail", "left_semi")
-        .groupBy("_host").agg(F.min("_p").alias("_cut"))
-    )
+    listed = tails.join(suffixes.select(F.col("suffix").alias("_tail")).distinct(), "_tail", "left_semi").select("_host", "_p")
+    general = tails.filter(F.col("_tail").rlike(_GENERAL)).select("_host", "_p")
+    found = listed.unionByName(general).groupBy("_host").agg(F.min("_p").alias("_cut"))
     parts = F.split("_host", r"\.")
     domain = (
         F.when(F.col("_host") == "", "")
+        .when(F.col("_host").rlike(_ADDRESS), F.col("_host"))
         .when(F.col("_cut") == 0, "")
         .when(F.col("_cut").isNotNull(),
               F.array_join(F.slice(parts, F.col("_cut"), F.size(parts)), "."))
-        .otherwise(F.element_at(parts, -1))
+        .otherwise(F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), 2), "."))
     )
     return named.join(found, "_host", "left").withColumn(out, domain).drop("_host", "_cut")
 

@@ -48,13 +48,17 @@ def replace_group(df: DataFrame, new: DataFrame, group: str) -> DataFrame:
 
 
 def id_set_differences(sent: DataFrame, received: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
-    """Full comparison of sent and received keys: ``missing``, ``extra`` and ``moved`` rows."""
-    s = sent.select(*key, F.col(pos).alias("sent_pos"))
-    r = received.select(*key, F.col(pos).alias("received_pos"))
+    """Full comparison of sent and received keys: ``missing``, ``extra`` and ``moved`` rows.
+
+    The n-th time a key was sent meets the n-th time it was received, so repeats multiply nothing.
+    """
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(pos)).alias("_turn")
+    s = sent.select(*key, F.col(pos).alias("sent_pos"), turn)
+    r = received.select(*key, F.col(pos).alias("received_pos"), turn)
     status = (
         F.when(F.col("received_pos").isNull(), "missing")
         .when(F.col("sent_pos").isNull(), "extra")
         .when(F.col("sent_pos") != F.col("received_pos"), "moved")
         .otherwise("ok")
     )
-    return s.join(r, list(key), "full_outer").withColumn("status", status)
+    return s.join(r, [*key, "_turn"], "full_outer").drop("_turn").withColumn("status", status)

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,11 +92,13 @@ def model_table(df: DataFrame, model: Model, inputs: Sequence[str], output: T.St
 def response_report(sent: DataFrame, received: DataFrame) -> DataFrame:
     """Check of stored chunks: one row per chunk with counts and a verdict.
 
-    Both tables have ``chunk``, ``pos``, ``id``.
+    Both tables have ``chunk``, ``pos``, ``id``. The n-th time an id was sent meets the n-th
+    time it came back: an id that comes back too often is extra, and another one is missing.
     """
-    s = sent.select("chunk", "id", F.col("pos").alias("sp"))
-    r = received.select("chunk", "id", F.col("pos").alias("rp"))
-    both = s.join(r, ["chunk", "id"], "full_outer")
+    turn = F.row_number().over(Window.partitionBy("chunk", "id").orderBy("pos")).alias("turn_")
+    s = sent.select("chunk", "id", F.col("pos").alias("sp"), turn)
+    r = received.select("chunk", "id", F.col("pos").alias("rp"), turn)
+    both = s.join(r, ["chunk", "id", "turn_"], "full_outer")
     report = both.groupBy("chunk").agg(
         F.count("sp").alias("n_sent"), F.count("rp").alias("n_received"),
         F.count_if(F.col("rp").isNull()).alias("n_missing"), F.count_if(F.col("sp").isNull()).alias("n_extra"),

@@ -25,10 +25,20 @@ def url_clean_host(spark, d):
     )
 
 
+# Hosts of other kinds than the pages have, with their domains; {} is a page's own label.
+_KINDS = (("www.{}.xyz", "{}.xyz"), ("a.b.{}.co.uk", "{}.co.uk"), ("x.{}.gov.br", "{}.gov.br"), ("{}.cloud", "{}.cloud"), ("192.168.1.7", "192.168.1.7"), ("localhost", "localhost"), ("co.uk", ""))
+
+
 @query("registered_domain", rf"""
-    select page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') as domain from pages""")
+    select page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') as domain from pages
+    union all select page_id + 1000000, case page_id % 7 {" ".join(f"when {i} then replace('{want}', '{{}}', 'p' || page_id)" for i, (_, want) in enumerate(_KINDS))} end from pages""")
 def registered_domain(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.registered_domain("url").alias("domain"))
+    pages = table(spark, d, "pages").select("page_id", "url")
+    own = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    kinds = F.array(*[F.lit(host) for host, _ in _KINDS])
+    other = F.concat(F.lit("https://"), F.replace(F.get(kinds, (F.col("page_id") % 7).cast("int")), F.lit("{}"), own), F.lit("/a?b"))
+    both = pages.unionByName(pages.select((F.col("page_id") + 1000000).alias("page_id"), other.alias("url")))
+    return both.select("page_id", urls.registered_domain("url").alias("domain"))
 
 
 @query("registered_domain_table", rf"""
@@ -302,12 +312,12 @@ _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in VOCABULARY) + "]"
 
 @query("topic_vocab", f"""
     select doc_id, array_to_string(list_filter({_VOCAB_SQL}, lambda v: contains(lower(text), v)), ',') as topics,
-      array_to_string(list_filter(string_split(lower(left(text, 200)), ' '), lambda w: list_contains({_VOCAB_SQL}, w)), ',') as kept
+      array_to_string(list_filter(string_split(lower(text), ' '), lambda w: list_contains({_VOCAB_SQL}, w)), ',') as kept
     from documents""")
 def topic_vocab(spark, d):
     return texts(spark, d, "documents").select(
         "doc_id", F.array_join(arrays.vocabulary_topics("text", VOCABULARY), ",").alias("topics"),
-        F.array_join(arrays.keep_vocabulary(F.split(F.lower(F.substring("text", 1, 200)), " "), VOCABULARY), ",").alias("kept"),
+        F.array_join(arrays.keep_vocabulary(F.split(F.lower("text"), " "), VOCABULARY), ",").alias("kept"),
     )
 
 
