@@ -34,6 +34,10 @@ TIME_META = (
 )
 
 
+# Inside of a tag: quoted values may hold a ">"; where quotes are not in pairs, up to the next ">".
+ATTRIBUTES = r"""(?:[^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+(?=>)|[^>]*)"""
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -44,7 +48,7 @@ def decode_entities(values: pd.Series) -> pd.Series:
 
 
 def _drop_element(page: Column, name: str) -> Column:
-    return F.regexp_replace(page, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", " ")
+    return F.regexp_replace(page, rf"(?is)<{name}(?:\s{ATTRIBUTES})?>.*?</{name}\s*>", " ")
 
 
 def without_comments(page: Column | str) -> Column:
@@ -67,7 +71,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def _tags(page: Column, name: str) -> Column:
     """Attribute texts of all tags of one name."""
-    return F.regexp_extract_all(page, F.lit(rf"(?is)<{name}((?:\s[^>]*)?)>"), F.lit(1))
+    return F.regexp_extract_all(page, F.lit(rf"(?is)<{name}((?:\s{ATTRIBUTES})?)>"), F.lit(1))
 
 
 def page_title(page: Column) -> Column:
@@ -160,10 +164,10 @@ def body_text(page: Column | str) -> Column:
     for name in DROPPED:
         out = _drop_element(out, name)
     out = F.regexp_replace(out, r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", " ")
-    article = F.regexp_extract(out, r"(?is)<article(?:\s[^>]*)?>(.*)</article\s*>", 1)
+    article = F.regexp_extract(out, rf"(?is)<article(?:\s{ATTRIBUTES})?>(.*)</article\s*>", 1)
     out = F.when(article != "", article).otherwise(out)
-    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
-    out = decode_entities(F.regexp_replace(out, r"<[^>]*>", ""))
+    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})(?:\s{ATTRIBUTES})?/?>", "\n")
+    out = decode_entities(F.regexp_replace(out, rf"<{ATTRIBUTES}>", ""))
     out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return text.strip(out)
@@ -191,7 +195,7 @@ def page_text(page: Column | str, max_tokens: int = 8192) -> Column:
 
 def raw_links(pages: DataFrame, page: str = "html") -> DataFrame:
     """Every ``<a>`` of every page: ``(page_id, source, url, ord, href, title, base_href)``."""
-    pattern = F.lit(r"(?is)<a((?:\s[^>]*)?)>(.*?)</a\s*>")
+    pattern = F.lit(rf"(?is)<a((?:\s{ATTRIBUTES})?)>(.*?)</a\s*>")
     facts = pages.withColumn("_markup", markup(page))
     base = F.coalesce(attribute(F.get(_tags(F.col("_markup"), "base"), F.lit(0)), "href"), F.lit(""))
     found = F.arrays_zip(
@@ -204,7 +208,7 @@ def raw_links(pages: DataFrame, page: str = "html") -> DataFrame:
         F.posexplode(found).alias("ord", "a"),
     )
     # Text pieces are trimmed one by one, so white space next to a tag goes with the tag.
-    title = text.strip(decode_entities(F.regexp_replace("a.inner", r"\s*<[^>]*>\s*", "")))
+    title = text.strip(decode_entities(F.regexp_replace("a.inner", rf"\s*<{ATTRIBUTES}>\s*", "")))
     return rows.select(
         "page_id", "source", "page_url", "base_href", "ord",
         decode_entities(attribute(F.col("a.tag"), "href")).alias("href"), title.alias("title"),
