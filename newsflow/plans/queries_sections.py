@@ -193,12 +193,12 @@ def assign_categories(spark, d):
 
 
 @query("category_proposal", f"""
-    with t as (select unnest([source, lang, left(text, 3)]) as topic, n_chars / 1000.0 as rating from {ITEMS}),
+    with t as (select unnest([source, lang, split_part(text, ' ', 1)]) as topic, n_chars / 1000.0 as rating from {ITEMS}),
     s as (select topic, avg(rating) as mean_rating, count(*) as n from t group by 1)
     select topic, round(mean_rating, 6) as mean_rating, n, round(mean_rating * ln(1 + n), 6) as priority from s
     order by mean_rating * ln(1 + n) desc, s.mean_rating desc, topic limit 30""")
 def category_proposal(spark, d):
-    df = items(spark, d).select(F.array("source", "lang", F.substring("text", 1, 3)).alias("topics"), (F.col("n_chars") / 1000.0).alias("rating"))
+    df = items(spark, d).select(F.array("source", "lang", F.substring_index("text", " ", 1)).alias("topics"), (F.col("n_chars") / 1000.0).alias("rating"))
     out = model.propose_categories(df, "topics", "rating")
     return out.withColumns({c: F.round(c, 6) for c in ("mean_rating", "priority")})
 
@@ -273,6 +273,5 @@ def stream_unseen(spark, d):
     incoming = stream.select(
         F.col("doc_id").alias("id"), url.alias("url"), "source", F.col("doc_id").cast("string").alias("title"), F.lit(True).alias("isAI"),
         published.alias("published"))
-    run(incoming, f"{root}/history", f"{root}/out", f"{root}/state", late="30 days",
-        state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    run(incoming, f"{root}/history", f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("url")

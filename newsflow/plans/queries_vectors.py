@@ -42,13 +42,6 @@ def cosine_pairs(spark, d):
     return pairs.withColumn("sim", F.round("sim", 6))
 
 
-@query("cosine_pairs_lsh")
-def cosine_pairs_lsh(spark, d):
-    """Approximate: may miss pairs, never adds one."""
-    pairs = neardup.similar_pairs_lsh(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
-    return pairs.withColumn("sim", F.round("sim", 6))
-
-
 _SIZED = f"(select id, v, case when id % 11 <> 3 then 100 + id % 5 end as len from {_COPIES})"
 
 
@@ -66,25 +59,20 @@ def neardup_drop(spark, d):
     return neardup.drop_near_duplicates(rows.unionByName(bare), emb, threshold=0.35)
 
 
-@query("neardup_losers", """
-    with p as (select a.vec_id as id_a, b.vec_id as id_b from embeddings a join embeddings b on a.vec_id < b.vec_id
-      where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > 0.4)
-    select distinct case when id_a % 5 > id_b % 5 then id_b else id_a end as vec_id from p""")
+@query("neardup_losers", f"""
+    with p as (select a.id as id_a, b.id as id_b from {_COPIES} a join {_COPIES} b on a.id < b.id where list_cosine_similarity(a.v, b.v) > 0.4)
+    select distinct case when id_a % 7 > id_b % 7 then id_b else id_a end as id from p""")
 def neardup_losers(spark, d):
-    emb = table(spark, d, "embeddings")
-    pairs = neardup.similar_pairs(emb, "vec_id", "embedding", 0.4)
-    sized = emb.select("vec_id", (F.col("vec_id") % 5).alias("len"))
-    return neardup.pairs_to_losers(pairs, sized, "vec_id", "len")
+    rows = _with_copies(spark, d).withColumn("len", F.col("id") % 7)
+    return neardup.similar_losers(rows, "id", "embedding", "len", 0.4)
 
 
-@query("dupe_marks_similar", """
-    with p as (select a.vec_id as id_a, b.vec_id as id_b from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label
-      where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > 0.3)
-    select vec_id, coalesce(m, -1) as dupe_id from embeddings left join (select id_b, min(id_a) as m from p group by 1) on id_b = vec_id""")
+@query("dupe_marks_similar", f"""
+    with p as (select a.id as id_a, b.id as id_b from {_COPIES} a join {_COPIES} b on a.id < b.id and a.id % 3 = b.id % 3 where list_cosine_similarity(a.v, b.v) > 0.3)
+    select id, coalesce(m, -1) as dupe_id from {_COPIES} left join (select id_b, min(id_a) as m from p group by 1) on id_b = id""")
 def dupe_marks_similar(spark, d):
-    emb = table(spark, d, "embeddings")
-    pairs = neardup.similar_pairs(emb, "vec_id", "embedding", 0.3)
-    return neardup.mark_duplicates(pairs, emb, "vec_id", "label")
+    rows = _with_copies(spark, d).withColumn("cat", F.col("id") % 3)
+    return neardup.similar_marks(rows, "id", "embedding", "cat", 0.3)
 
 
 @query("neardup_documents")

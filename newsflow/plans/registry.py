@@ -50,17 +50,17 @@ def now(spark: SparkSession | None = None):
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as news items: title = first 60 characters of the first line, one per hour."""
+    """Documents as news items: title = first line, one per hour."""
     docs = table(spark, folder, "documents")
     return docs.select(
         F.col("doc_id").alias("id"), "source", "lang", "text", "n_chars",
-        F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         (F.col("doc_id") % 240).alias("age_h"),
     )
 
 
 # The same frame as a SQL expression.
 ITEMS = (
-    "(select doc_id as id, source, lang, text, n_chars, left(split_part(text, chr(10), 1), 60) as title, "
+    "(select doc_id as id, source, lang, text, n_chars, split_part(text, chr(10), 1) as title, "
     "doc_id % 240 as age_h from documents)"
 )
