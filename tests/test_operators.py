@@ -391,3 +391,62 @@ def test_greedy_order(spark):
     df = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [5.0]), (3, 0, [1.0]), (4, 0, [3.0])], "id long, c int, v array<double>")
     got = {r["id"]: r["sort_order"] for r in clustering.neighbour_order(df, "id", "c", "v").collect()}
     assert got == {1: 0, 3: 1, 4: 2, 2: 3}
+
+
+def test_registered_domain_of_any_suffix(spark):
+    from newsflow.functions import urls
+
+    rows = [("https://foo.xyz/a", "foo.xyz"), ("news.cloud", "news.cloud"), ("http://192.168.1.1:80/x", "192.168.1.1"), ("https://www.a.gov.br", "a.gov.br"),
+            ("https://x.a.co.uk/", "a.co.uk"), ("co.uk", ""), ("localhost", "localhost"), ("", ""), (None, "")]
+    frame = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "i int, u string")
+    suffixes = spark.createDataFrame([("com",), ("co.uk",)], "suffix string")
+    for out in (frame.withColumn("domain", urls.registered_domain("u")), urls.with_registered_domain(frame, "u", suffixes)):
+        assert [r["domain"] for r in out.orderBy("i").collect()] == [want for _, want in rows]
+
+
+def test_repeated_ids_in_responses(spark):
+    from newsflow.operators import dedup, model
+
+    sent = spark.createDataFrame([("c", 1, 1), ("c", 2, 2)], "chunk string, pos int, id int")
+    received = spark.createDataFrame([("c", 1, 1), ("c", 2, 1)], "chunk string, pos int, id int")
+    report = model.response_report(sent, received).first()
+    assert (report["n_sent"], report["n_received"], report["n_missing"], report["n_extra"], report["verdict"]) == (2, 2, 1, 1, "id mismatch")
+    found = dedup.id_set_differences(sent, received, ["chunk", "id"], "pos").collect()
+    assert sorted((r["id"], r["status"]) for r in found) == [(1, "extra"), (1, "ok"), (2, "missing")]
+
+
+def test_marks_and_losers_with_copies(spark):
+    from newsflow.operators import neardup
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "A", 1), (2, [1.0, 0.0], "B", 9), (3, [1.0, 0.0], "B", 9), (4, [0.0, 1.0], "B", 5)], "id long, v array<double>, cat string, len int")
+    marks = {r["id"]: r["dupe_id"] for r in neardup.similar_marks(rows, "id", "v", "cat", 0.9).collect()}
+    assert marks == {1: -1, 2: -1, 3: 2, 4: -1}
+    near = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.05], 5), (3, [1.0, 0.0], 9)], "id long, v array<double>, len int")
+    assert sorted(r["id"] for r in neardup.similar_losers(near, "id", "v", "len", 0.9).collect()) == [1, 2]
+
+
+def test_links_with_quoted_angle_brackets(spark):
+    from newsflow.sources import html
+
+    page = """<html><body><a title='a > b' href='/p/1'>One</a> <a href="/p/2" data-x="it's">Two</a> <a href=/p/3 title="open>Three</a></body></html>"""
+    frame = spark.createDataFrame([(1, "s", "https://x.example/", page)], "page_id long, source string, url string, html string")
+    assert [(r["href"], r["title"]) for r in html.raw_links(frame).orderBy("ord").collect()] == [("/p/1", "One"), ("/p/2", "Two"), ("/p/3", "Three")]
+
+
+def test_stream_keeps_late_items(spark, tmp_path):
+    from newsflow.streaming.seen import stream_unseen
+
+    old = spark.sql("select 'https://a/0' initial_url, '' final_url, 't' title, 's' source, false isAI, timestamp'2024-01-01' created_at")
+    old.write.parquet(f"{tmp_path}/history/version=0")
+    schema = "id long, url string, source string, title string, isAI boolean, published timestamp"
+    days = ["2024-01-10", "2024-01-11", "2024-01-01"]
+    got = []
+    for run, day in enumerate(days):
+        rows = [(run * 3 + k, f"https://a/{run + k}", "s", f"t{run * 3 + k}", True, None) for k in range(2)]
+        spark.createDataFrame(rows, schema).withColumn("published", F.to_timestamp(F.lit(day))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream_unseen(stream, f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        got.append(sorted(r["url"] for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == [["https://a/1"], ["https://a/1", "https://a/2"], ["https://a/1", "https://a/2", "https://a/3"]]
+    history = spark.read.parquet(f"{tmp_path}/history")
+    assert history.count() == history.select("initial_url").distinct().count() == 4
