@@ -2,7 +2,7 @@
 
 A text is cut where no token can cross: before the words of a tokenizer that drops white space, or
 before a single space or line feed between other characters for one that keeps it (the space belongs to
-the word behind it). The pieces go through the tokenizers library; texts repeat most of them, so each
+the word behind it), and there before a mark behind a letter too. The pieces go through the tokenizers library; texts repeat most of them, so each
 is encoded once per batch and frequent ones once per worker. A table of pieces of bounded size is kept.
 """
 
@@ -30,6 +30,21 @@ _INNER[[0xC2, 0x9A, 0x80, 0x81]] = True
 _FIRST[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+# Letters that end a run of letters when one of these marks follows; "|" is left out, as special tokens hold it.
+_LETTER, _LATIN, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True  # behind 0xC3, without the signs for times and divided by
+_MARK[[*b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"]] = True
+
+
+def mark_cuts(data: np.ndarray) -> np.ndarray:
+    """Marks right behind a letter. A split pattern never has both in one part."""
+    at = np.flatnonzero(_MARK[data[1:]]) + 1
+    before = data[at - 1]
+    letter = _LETTER[before] | (_LATIN[before] & (data[np.maximum(at - 2, 0)] == 0xC3) & (at > 1))
+    return at[letter]
+
+
 def word_cuts(data: np.ndarray) -> np.ndarray:
     """First bytes of words: for tokenizers that drop white space."""
     blank = _BLANK[data]
@@ -37,13 +52,13 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
 
 
 def space_cuts(data: np.ndarray) -> np.ndarray:
-    """Single spaces and line feeds between other characters: for tokenizers that keep white space."""
+    """Single spaces and line feeds between other characters, and marks behind letters: for tokenizers that keep white space."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
     before, after = data[at - 1], data[at + 1]
     odd = _SPACE[before] | _SPACE[after] | _FIRST[after] | (_LAST[before] & _INNER[data[np.maximum(at - 2, 0)]])
-    return at[~odd]
+    return np.union1d(at[~odd], mark_cuts(data))
 
 
 @dataclass

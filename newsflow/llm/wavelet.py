@@ -8,6 +8,7 @@ again with select finds where it occurs.
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import numpy as np
@@ -16,17 +17,19 @@ import zstandard
 MAGIC = b"WVM1"
 #: Bits between two entries of a plane's rank directory.
 BLOCK = 2048
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class Plane:
     def __init__(self, packed: np.ndarray, n: int) -> None:
         self.packed, self.n = packed, n
-        step = BLOCK // 8
-        ones = _ONES[packed].astype(np.int64)
-        sums = np.add.reduceat(ones, np.arange(0, len(ones), step)) if len(ones) else np.zeros(0, np.int64)
-        self.before = np.concatenate([[0], np.cumsum(sums)])
-        self.zeros = n - int(self.before[-1])
+        self.zeros = n - int(np.bitwise_count(packed).sum(dtype=np.int64))
+
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        """The rank directory: ones before each block."""
+        ones = np.bitwise_count(self.packed).astype(np.int64)
+        sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8)) if len(ones) else np.zeros(0, np.int64)
+        return np.concatenate([[0], np.cumsum(sums)])
 
     def bits(self) -> np.ndarray:
         return np.unpackbits(self.packed, count=self.n).view(bool)
@@ -37,7 +40,7 @@ class Plane:
     def rank1(self, place: int) -> int:
         """Ones before ``place``."""
         block, byte = place // BLOCK, place >> 3
-        count = int(self.before[block]) + int(_ONES[self.packed[block * (BLOCK // 8):byte]].sum())
+        count = int(self.before[block]) + int(np.bitwise_count(self.packed[block * (BLOCK // 8):byte]).sum())
         return count + (bin(int(self.packed[byte]) >> (8 - (place & 7))).count("1") if place & 7 else 0)
 
     def select(self, bit: int, k: int) -> int:
@@ -59,19 +62,19 @@ class WaveletMatrix:
         order = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
         for k in range(width - 1, -1, -1):
-            ones = ((order >> k) & 1).view(np.uint8 if order.itemsize == 1 else order.dtype).astype(bool)
+            ones = (order & order.dtype.type(1 << k)) != 0
             planes.append(Plane(np.packbits(ones), len(order)))
             order = np.concatenate([order[~ones], order[ones]])
         return cls(len(ids), planes)
 
     def ids(self) -> np.ndarray:
         """The whole sequence, by undoing the planes from the last."""
-        order = np.zeros(self.n, np.uint32)
+        order = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k, plane in enumerate(reversed(self.planes)):
             ones = plane.bits()
             back = np.empty_like(order)
             back[~ones] = order[:plane.zeros]
-            back[ones] = order[plane.zeros:] | np.uint32(1 << k)
+            back[ones] = order[plane.zeros:] | order.dtype.type(1 << k)
             order = back
         return order
 
