@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsflow.functions import scores, text, urls
 from newsflow.operators import dedup, edits, evaluate, history, model, numbering, stats
 from newsflow.plans.registry import ITEMS, NOW, items, now, query, table
+from newsflow.session import new_folder
 from newsflow.sources import catalog, html, sinks, tables
 
 # ------------------------------------------------------------------ sources
@@ -121,8 +122,7 @@ def reorder_list(spark, d):
     lists = lines.groupBy(F.col("l_orderkey").alias("list_id")).agg(
         F.transform(F.sort_array(F.collect_list("s")), lambda s: s["l_partkey"]).alias("wanted"))
     parts = table(spark, d, "part").filter("p_size > 10").select("p_partkey", "p_name")
-    positions = lists.select("list_id", F.posexplode("wanted").alias("pos", "p_partkey"))
-    return positions.join(parts, "p_partkey").select("list_id", F.col("pos").cast("long").alias("pos"), "p_partkey", "p_name")
+    return tables.reorder(parts, "p_partkey", lists, "wanted").select("list_id", F.col("pos").cast("long").alias("pos"), "p_partkey", "p_name")
 
 
 _CATALOG_SQL = """
@@ -269,16 +269,25 @@ def document_lines(spark, d):
 @query("latest_snapshot", """
     select user_id as session, event_type as step, max(event_id) as event_id, max_by(value, event_id) as value from events group by 1, 2""")
 def latest_snapshot(spark, d):
-    """Newest state per (session, step)."""
-    log = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("step"), "event_id", "value")
-    return stats.latest_per_key(log, ["session", "step"], ["event_id"])
+    """Newest state per (session, step), from snapshots of two steps written and read back."""
+    log = table(spark, d, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("kind"), "event_id", "value")
+    root = new_folder(spark, "snapshots")
+    sinks.write_snapshot(log.limit(0), root, "all", "states")
+    sinks.write_snapshot(stats.latest_per_key(log, ["owner", "kind"], ["event_id"]), root, "all", "states")  # a repeated step replaces its own
+    sinks.write_snapshot(log, root, "all", "raw")
+    back = sinks.read_snapshot(spark, root, "all", "states")
+    return back.select(F.col("owner").alias("session"), F.col("kind").alias("step"), "event_id", "value")
 
 
 @query("latest_trial", "select event_id, value as score, props as config from events order by ts desc, event_id desc limit 1")
 def latest_trial(spark, d):
-    trials = table(spark, d, "events").select("event_id", F.col("value").alias("score"), F.col("props").alias("config"), "ts")
-    newest = trials.agg(F.max_by(F.struct("event_id", "score", "config"), F.struct("ts", "event_id")).alias("t"))
-    return newest.select("t.*")
+    """Trials appended in two goes and the newest read back."""
+    stamp = F.struct("ts", "event_id").alias("timestamp")
+    trials = table(spark, d, "events").select("event_id", F.col("value").alias("score"), F.col("props").alias("config"), stamp)
+    path = new_folder(spark, "trials")
+    for half in (F.col("event_id") % 2 == 1, F.col("event_id") % 2 == 0):
+        sinks.append_trial(trials.filter(half), path)
+    return sinks.latest_trial(spark, path).select("event_id", "score", "config")
 
 
 # ------------------------------------------------------------------ filters

@@ -77,6 +77,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder of this call's own in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer partitions than cores, spread over all cores.
 

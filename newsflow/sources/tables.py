@@ -113,6 +113,10 @@ def newest_until(posts: DataFrame, marker: str | None, now, max_age_hours: float
 
 
 def reorder(df: DataFrame, index: str, wanted: DataFrame, listed: str) -> DataFrame:
-    """Rows in the order of a list of indexes; rows that are not listed are left out."""
-    positions = wanted.select(F.posexplode(listed).alias("pos", index))
-    return positions.join(df, index).orderBy("pos")
+    """Rows in the order of a list of indexes; rows that are not listed are left out.
+
+    ``wanted`` may hold several lists; its other columns say which, and each list is an order of its own.
+    """
+    which = [c for c in wanted.columns if c != listed]
+    positions = wanted.select(*which, F.posexplode(listed).alias("pos", index))
+    return positions.join(df, index).orderBy(*which, "pos")
