@@ -91,7 +91,8 @@ def test_bin_completion_finds_the_fewest():
     better = 0
     for trial in range(250):
         capacity = draw.choice([10, 20, 30, 50])
-        items = [draw.randint(capacity // 4, capacity // 2 + 1) if trial % 3 == 0 else draw.randint(1, capacity) for _ in range(draw.randint(0, 10))]
+        close = trial % 3 == 0
+        items = [draw.randint(capacity // 4, capacity // 2 + 1) if close else draw.randint(1, capacity) for _ in range(11 if close else draw.randint(0, 11))]
         counts = np.bincount(items, minlength=capacity + 1) if items else np.zeros(capacity + 1, int)
         patterns, proven = pack_lengths(counts, capacity)
         held = np.zeros(capacity + 1, int)
