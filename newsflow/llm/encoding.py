@@ -52,13 +52,13 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
 
 
 def space_cuts(data: np.ndarray) -> np.ndarray:
-    """Single spaces and line feeds between other characters, and marks behind letters: for tokenizers that keep white space."""
+    """Single spaces and line feeds between other characters, then marks behind letters: for tokenizers that keep white space."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
     before, after = data[at - 1], data[at + 1]
     odd = _SPACE[before] | _SPACE[after] | _FIRST[after] | (_LAST[before] & _INNER[data[np.maximum(at - 2, 0)]])
-    return np.union1d(at[~odd], mark_cuts(data))
+    return np.concatenate([at[~odd], mark_cuts(data)])
 
 
 @dataclass
@@ -114,8 +114,10 @@ class PieceEncoder:
         data, rows = raw_bytes(column)
         if not len(data):
             return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(len(rows) - 1, np.int64)
-        filled = rows[:-1][np.diff(rows) > 0]
-        begin = np.union1d(filled, self.cuts(data)).astype(np.int64)
+        cut = np.zeros(len(data), bool)
+        cut[rows[:-1][np.diff(rows) > 0]] = True
+        cut[self.cuts(data)] = True
+        begin = np.flatnonzero(cut)
         # A cut found across two rows is a row's beginning or inside one; rows always begin anew.
         ends = np.append(begin, len(data))
         parts = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])

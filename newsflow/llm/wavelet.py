@@ -63,8 +63,12 @@ class WaveletMatrix:
         planes = []
         for k in range(width - 1, -1, -1):
             ones = (order & order.dtype.type(1 << k)) != 0
-            planes.append(Plane(np.packbits(ones), len(order)))
-            order = np.concatenate([order[~ones], order[ones]])
+            plane = Plane(np.packbits(ones), len(order))
+            planes.append(plane)
+            back = np.empty_like(order)
+            np.compress(ones, order, out=back[plane.zeros:])
+            np.compress(np.logical_not(ones, out=ones), order, out=back[:plane.zeros])
+            order = back
         return cls(len(ids), planes)
 
     def ids(self) -> np.ndarray:
