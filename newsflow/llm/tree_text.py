@@ -29,12 +29,22 @@ CONTAINERS = frozenset("article main section div td body blockquote details cent
 # A start tag of the first kind ends an open element of the second.
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "summary", "figcaption"}
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
-# What these look for in class, id and role says that a part is not the article, or that it is.
-OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|toolbar|sidebar|aside|rail|widget|footer|foot|masthead|"
-    r"header|comments?|commentlist|disqus|replies|respond|reader-?comments?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|sign-up|login|paywall|share|sharing|social|related|recommended|recommendations|more-?stories|teasers?|pagination|pager|tags|"
-    r"copyright|legal|disclaimer|search\w*|form|contentinfo|complementary|skip\w*|outbrain|taboola)(?:$|[\s_-]|\d)", re.I)
+# A whole class token, id or role of such words says that a part is not the article. Words beside them may only say where or as what a part stands,
+# so that "has-sidebar", "section-header" or "social-impact" say nothing.
+_OTHER = (
+    r"(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|nav[a-z]*|menu[a-z]*|breadcrumbs?|toolbar|sidebar|aside|rail|widget|footer|foot|masthead|"
+    r"header|comments?|commentlist|disqus|replies|respond|readercomments?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"subscription|signup|sign[_-]up|login|paywall|share|sharing|social|related|recommended|recommendations|more[_-]?stories|teasers?|pagination|pager|tags|"
+    r"copyright|legal|disclaimer|search[a-z]*|form|contentinfo|complementary|skip[a-z]*|outbrain|taboola)\d*")
+_BESIDE = (
+    r"(?:site|page|main|primary|secondary|global|top|bottom|left|right|post|posts|entry|article|articles|story|stories|reader|links?|list|buttons?|bar|box|"
+    r"area|block|container|wrapper|wrap|inner|items?|icons|widgets|\d+)")
+OTHER = re.compile(rf"(?:{_BESIDE}[_-]+)*{_OTHER}(?:[_-]+(?:{_OTHER}|{_BESIDE}))*", re.I)
+COMMENTS = re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+# As the id of a section these are rather its subject.
+SUBJECTS = frozenset("ads advertising sponsors navigation cookies consent gdpr notice notices alert social sharing legal copyright disclaimer search form tags subscription login".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAST = 25  # characters of text that count
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|content|story\w*|main|body|text|page)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<cdata>.*?)\]\]>|[!?][^>]*>|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>)", re.S)
@@ -117,34 +127,55 @@ def _close(now: Element, names: tuple[str, ...], root: Element, within: set[str]
     return now
 
 
-def _apart(element: Element) -> bool:
-    """Whether the page says that this is no part of the article."""
+def _within(element: Element, names: tuple[str, ...]) -> bool:
+    place = element.parent
+    while place is not None and place.name not in names:
+        place = place.parent
+    return place is not None
+
+
+def _apart(element: Element, by_role: bool = True) -> bool:
+    """Whether element, visibility or role say that this is no part of the article."""
     if element.name in NOT_TEXT:
         return True
-    if element.name == "header":  # a heading inside an article belongs to it
-        place = element.parent
-        while place is not None and place.name not in ("article", "main"):
-            place = place.parent
-        if place is None:
-            return True
-    if not element.attrs or element.name in ("html", "body", "article", "main", "p", "h1"):
-        told = element.told() if element.attrs else {}
-        return "hidden" in told or told.get("aria-hidden") == "true" or element.name == "p" and bool(OTHER.search(told.get("class", "")))
+    if element.name == "header" and not _within(element, ("article", "main")):  # a heading inside an article belongs to it
+        return True
+    if not element.attrs:
+        return False
     told = element.told()
-    if "hidden" in told or told.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", told.get("style", ""), re.I):
+    if "hidden" in told or told.get("aria-hidden") == "true":
         return True
-    if told.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "alertdialog", "menubar", "toolbar"):
+    if element.name in ("html", "body", "article", "main", "p", "h1"):
+        return False
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", told.get("style", ""), re.I):
         return True
-    said = told.get("class", "") + " " + told.get("id", "")
-    return bool(OTHER.search(said)) and not (element.name in ("article", "section", "main", "div") and ARTICLE.search(said) and not re.search(r"comment|\bads?\b|sidebar|footer|nav|menu|share|related", said, re.I))
+    return by_role and told.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "alertdialog", "menubar", "toolbar")
 
 
-def _prune(element: Element) -> None:
-    """Take out what is set apart; measure text and link text of the rest."""
+def _named_apart(element: Element) -> str | None:
+    """The class token or id that as a whole says that this is no part of the article."""
+    if not element.attrs or element.name in ("html", "body", "article", "main", "h1"):
+        return None
+    told = element.told()
+    tokens, own = told.get("class", "").split(), told.get("id", "").strip()
+    if element.name in HEADINGS:  # only by one word, and not by one that says it is a heading
+        return next((t for t in tokens if re.fullmatch(_OTHER, t, re.I) and t.lower() not in ("header", "banner", "masthead")), None)
+    if element.name == "section" and own.lower() in SUBJECTS or element.name == "p":
+        own = ""
+    said = " ".join([*tokens, own])
+    if element.name in ("section", "div") and ARTICLE.search(said) and not re.search(r"comment|\bads?\b|sidebar|footer|nav|menu|share|related", said, re.I):
+        return None
+    found = next((t for t in (*tokens, own) if t and OTHER.fullmatch(t)), None)
+    return None if found and "header" in found.lower() and _within(element, ("article", "main")) else found
+
+
+def _measure(element: Element) -> None:
+    """Text and link text of an element and of all in it."""
     stack = [(element, False)]
     while stack:
         now, measured = stack.pop()
         if measured:
+            now.size = now.linked = 0
             for part in now.parts:
                 if isinstance(part, str):
                     size = len(part.strip())
@@ -154,11 +185,55 @@ def _prune(element: Element) -> None:
                     now.size += part.size
                     now.linked += part.size if now.name == "a" else part.linked
             continue
-        now.parts = [p for p in now.parts if isinstance(p, str) or not _apart(p)]
         stack.append((now, True))
         stack.extend((p, False) for p in now.parts if not isinstance(p, str))
 
 
+def _prune(element: Element, by_name: bool = True) -> None:
+    """Take out what is set apart; measure text and link text of the rest.
+
+    What only its name sets apart stays if it holds the article: a main or h1, an article outside of others, or most of the page's
+    text outside of links while no article or main has text elsewhere. Comments stay if there is no other text.
+    """
+    for now in _elements(element):
+        now.parts = [p for p in now.parts if isinstance(p, str) or not _apart(p, by_name)]
+    _measure(element)
+    if not by_name:
+        return
+    everything = list(_elements(element))
+    named = {id(e): token for e in everything if (token := _named_apart(e))}
+    if not named:
+        return
+    whole = element.size - element.linked
+    held: dict[int, tuple[bool, int]] = {}  # whether it holds a main or h1, and how many articles and mains
+    for now in reversed(everything):
+        below = [held[id(p)] for p in now.parts if not isinstance(p, str)]
+        mark = now.name in ("article", "main") and now.size - now.linked >= LEAST and id(now) not in named
+        held[id(now)] = (now.size > 0 and now.name in ("main", "h1") or any(x for x, _ in below), mark + sum(n for _, n in below))
+    gone = set()
+    stack = [(element, 0, 0, False)]  # with the number of articles and mains around, their text, and whether one is an article
+    while stack:
+        now, around, text, inner = stack.pop()
+        own, (title, marks) = now.size - now.linked, held[id(now)]
+        if id(now) in named and not title and not (marks and not inner):
+            elsewhere = held[id(element)][1] > marks + around or text - own >= LEAST
+            if COMMENTS.search(named[id(now)]):
+                most = own == whole
+            else:
+                most = 2 * own > whole and not elsewhere
+            if not most:
+                gone.add(id(now))
+                continue
+        if now.name in ("article", "main") and own >= LEAST and id(now) not in named:
+            around, text = around + 1, max(text, own)
+        inner = inner or now.name == "article"
+        stack.extend((p, around, text, inner) for p in now.parts if not isinstance(p, str))
+    for now in everything:
+        if any(not isinstance(p, str) and id(p) in gone for p in now.parts):
+            now.parts = [p for p in now.parts if isinstance(p, str) or id(p) not in gone]
+    _measure(element)
+
+
 def _elements(element: Element) -> Iterator[Element]:
     stack = [element]
     while stack:
@@ -184,7 +259,7 @@ def _score(root: Element) -> list[Element]:
     for element in _elements(root):
         if element.name in CONTAINERS or element.name in ("p", "pre", "li", "dd", "h2", "h3"):
             text = html.unescape(_own_text(element)).strip()
-            if len(text) < 25:
+            if len(text) < LEAST:
                 continue
             points = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3) + len(text) / 1000
             place, share = (element if element.name in CONTAINERS else element.parent), 1.0
@@ -204,12 +279,17 @@ def _score(root: Element) -> list[Element]:
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, white space inside a block as one space, blocks joined by two line feeds.
 
-    Null and empty pages, and pages without text outside of set-apart parts, give an empty string.
+    Null and empty pages, and pages without text outside of set-apart parts, give an empty string. Parts that are set apart by
+    class, id or role only are kept where nothing else is left.
     """
     if not page:
         return ""
+    return _article(page, True) or _article(page, False)
+
+
+def _article(page: str, by_name: bool) -> str:
     root = parse(page)
-    _prune(root)
+    _prune(root, by_name)
     scored = _score(root)
     if not scored:
         return _joined([root])

@@ -67,7 +67,22 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='layout has-sidebar'><h1>T</h1><p>{BODY}</p></div>", f"T\n\n{BODY.strip()}"),
+    (f"<div class='content no-sidebar'><article><p>{BODY}</p></article></div>", BODY.strip()),
+    (f"<article><p>{BODY}</p><h2 id='social-impact'>One</h2><p>{BODY}</p><h2 class='section-header'>Two</h2><p>{BODY}</p></article>", f"{BODY.strip()}\n\nOne\n\n{BODY.strip()}\n\nTwo\n\n{BODY.strip()}"),
+    (f"<div class='widget'><p>{BODY}</p></div><p>x</p>", BODY.strip()),
+    (f"<div class='sidebar'><main><p>{BODY}</p></main></div><div class='sidebar'><p>{BODY}</p></div>", BODY.strip()),
+    (f"<div role='form'><p>{BODY}</p></div>", BODY.strip()),
+    (f"<article><p>{BODY}</p></article><div class='cookie-notice'><p>{BODY * 4}</p></div>", BODY.strip()),
+    (f"<article><p>{BODY}</p><div class='related-posts'><article><p>{BODY}</p></article></div></article>", BODY.strip()),
+])
+def test_names_of_wrappers_and_headings(page, want):
+    assert main_text(page) == want
+
+
 def test_deep_and_long_pages_end():
+    main_text(f"<div class='{'nav_' * 5000}!'>x</div>")
     assert main_text("<div>" * 30_000 + "x") == "x"
     assert main_text("<p>a, b" * 20_000).count("a, b") == 20_000
 
