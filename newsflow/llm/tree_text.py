@@ -276,6 +276,20 @@ def _score(root: Element) -> list[Element]:
     return list(scored.values())
 
 
+def _climbed(root: Element, best: Element) -> Element:
+    """The outermost article around the best container, or the main if it has no text in other articles; else the container itself."""
+    article = main = None
+    place: Element | None = best
+    while place is not None:
+        article = place if place.name == "article" else article
+        main = place if place.name == "main" else main
+        place = place.parent
+    if article is None or main is None:
+        return article or main or best
+    own = {id(e) for e in _elements(article)}
+    return article if any(e.name == "article" and e.size and id(e) not in own for e in _elements(main)) else main
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article in page order, white space inside a block as one space, blocks joined by two line feeds.
 
@@ -297,6 +311,7 @@ def _article(page: str, by_name: bool) -> str:
     # A container whose only worth is in one child adds what stands beside it; a page of several like parts is taken whole.
     while best.parent is not None and best.parent.points >= 0.75 * best.points and best.parent.name in CONTAINERS - {"body"}:
         best = best.parent
+    best = _climbed(root, best)
     parent = best.parent
     if parent is None:
         return _joined([best])

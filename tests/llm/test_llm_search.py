@@ -81,6 +81,17 @@ def test_names_of_wrappers_and_headings(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<article><header><h1>T</h1></header><div><p>{BODY}</p></div></article>", f"T\n\n{BODY.strip()}"),
+    (f"<article><div><p>{BODY * 9}</p></div><h3>H</h3><section><p>Short section.</p></section><p>See <a href=x>this</a></p><ul><li>one<li>two</ul><blockquote>So be it</blockquote>"
+     f"<table><tr><td>1<td>2</table></article><div><p>no</p></div>", f"{(BODY * 9).strip()}\n\nH\n\nShort section.\n\nSee this\n\none\n\ntwo\n\nSo be it\n\n1\n\n2"),
+    (f"<main><h2>T</h2><p>Lead</p><article><div><p>{BODY}</p></div><p>End</p></article></main><p>no</p>", f"T\n\nLead\n\n{BODY.strip()}\n\nEnd"),
+    (f"<main><article><div><p>{BODY}</p></div><p>End</p></article><article><p>no</p></article></main>", f"{BODY.strip()}\n\nEnd"),
+])
+def test_all_parts_of_an_article(page, want):
+    assert main_text(page) == want
+
+
 def test_deep_and_long_pages_end():
     main_text(f"<div class='{'nav_' * 5000}!'>x</div>")
     assert main_text("<div>" * 30_000 + "x") == "x"
