@@ -75,12 +75,20 @@ def dupe_marks_similar(spark, d):
     return neardup.similar_marks(rows, "id", "embedding", "cat", 0.3)
 
 
-@query("neardup_documents")
+@query("neardup_documents", r"""
+    with d as (select doc_id as id, text, n_chars as content_length from documents),
+    w as (select id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) as term from d where length(trim(text)) > 0),
+    tf as (select id, term, count(*) as c from w where term <> '' group by 1, 2),
+    idf as (select term, ln(((select count(*) from d where length(trim(text)) > 0) + 1.0::double) / (count(*) + 1.0::double)) as idf from tf group by 1),
+    x as (select id, term, c * idf as x from tf join idf using (term) where idf > 0),
+    u as materialized (select id, term, x / sqrt(sum(x * x) over (partition by id)) as x from x),
+    p as (select a.id as id_a, b.id as id_b from u a join u b on a.term = b.term and a.id < b.id group by 1, 2 having sum(a.x * b.x) > 0.925),
+    l as (select case when a.content_length > b.content_length then id_b else id_a end as id from p join d a on a.id = id_a join d b on b.id = id_b)
+    select id, content_length from d where id not in (from l)""")
 def neardup_documents(spark, d):
-    """Documents left after text vectors are compared at 0.925."""
+    """Documents left after exact TF-IDF vectors of their texts are compared at 0.925."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("content_length"))
-    emb = cut_lineage(neardup.embed_texts(docs, "id", "text", 512))
-    return neardup.drop_near_duplicates(docs.drop("text"), emb, threshold=0.925)
+    return neardup.drop_near_texts(docs, threshold=0.925).drop("text")
 
 
 _RATING = "(vec_id * 37 % 101) / 10.0"

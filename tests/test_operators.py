@@ -450,3 +450,34 @@ def test_stream_keeps_late_items(spark, tmp_path):
     assert got == [["https://a/1"], ["https://a/1", "https://a/2"], ["https://a/1", "https://a/2", "https://a/3"]]
     history = spark.read.parquet(f"{tmp_path}/history")
     assert history.count() == history.select("initial_url").distinct().count() == 4
+
+
+def test_near_texts_by_exact_terms(spark):
+    """Against brute force: other words never count as the same, copies and missing lengths do as with vectors."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    texts = []
+    for i in range(120):
+        base = [f"w{draw.randrange(3000)}" for _ in range(30)] + ["common"] * 3
+        texts += [" ".join(base), " ".join(base[1:]) if i % 3 else " ".join(reversed(base))]
+    texts += ["", None, "...", "common"]
+    rows = [(i, t, None if i % 11 == 0 else 100 + i % 5) for i, t in enumerate(texts)]
+    words = {i: {w: t.lower().split().count(w) for w in t.lower().split()} for i, t, _ in rows if t and t != "..."}
+    total = sum(bool(t) for t in texts)
+    share = {w: sum(w in v for v in words.values()) for v in words.values() for w in v}
+    unit = {}
+    for i, v in words.items():
+        x = {w: c * math.log((1 + total) / (1 + share[w])) for w, c in v.items()}
+        unit[i] = {w: y / math.sqrt(sum(z * z for z in x.values())) for w, y in x.items()}
+    size = {i: n for i, _, n in rows}
+    lost = set()
+    for a in unit:
+        for b in unit:
+            if a < b and sum(x * unit[b].get(w, 0) for w, x in unit[a].items()) > 0.925:
+                longer = size[a] is not None and size[b] is not None and size[a] > size[b]
+                lost.add(b if longer else a)
+    df = spark.createDataFrame(rows, "id long, text string, content_length int")
+    assert set(ids(neardup.drop_near_texts(df, threshold=0.925))) == set(range(len(rows))) - lost and len(lost) > 100
+    assert neardup.drop_near_texts(df.limit(0), threshold=0.925).count() == 0
