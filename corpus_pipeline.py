@@ -55,12 +55,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that share an id, which are one group, the smallest row stays.
     """
     ship_package(spark)
-    gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    stay = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    many = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("many"))
-    single = stay.join(many, stay["doc_id"] == F.col("many"), "left_anti")
-    rows = stay.join(many, stay["doc_id"] == F.col("many"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*map(quoted, docs.columns))).alias("row"))
-    return single.unionByName(rows.select("row.*"))
+    gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
+    many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    # A row as one value, so that no column's name can clash.
+    stay = docs.select("doc_id", F.struct(*map(quoted, docs.columns)).alias("row")).join(gone, "doc_id", "left_anti")
+    single = stay.join(many, "doc_id", "left_anti").select("row")
+    rows = stay.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(rows).select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,12 @@ def test_odd_rows_pass_all_stages(llm_spark):
                 assert not got
             if name == "near duplicates" and frame.head(1):
                 assert sorted(str(r["doc_id"]) for r in got) == ["1", "2", "5", "6", "None"]
+
+
+def test_columns_named_like_the_stage_s_own(llm_spark):
+    same = "one two three four five six seven eight nine ten " * 5
+    rows = [(1, same, i, 2, 3, 4) for i in (8, 7)] + [(2, same, 1, 2, 3, 4), (3, "other", 1, 2, 3, 4), (None, same, 1, 2, 3, 4)]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, gone int, many int, count int, row int")
+    out = corpus_pipeline.drop_near_duplicates(llm_spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["gone"]) for r in out.collect()) == [("1", 7), ("3", 1), ("None", 1)]
