@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from newsflow.functions.text import blank_to_null, strip
 
 Model = Callable[[list[dict]], list[dict]]
+CHUNK = 2048  # rows, or centroids, that one task compares at a time
 
 
 class ResponseError(ValueError):
@@ -133,37 +135,39 @@ def assign_by_centroid(
 ) -> DataFrame:
     """``(key, category)``: candidate with the most similar centroid, Other below ``floor``.
 
-    ``centroids`` has ``category`` and ``centroid``. Each task scores its rows against blocks
-    of candidates it streams, so nothing of size rows x candidates is built.
+    ``centroids`` has ``category`` and ``centroid``; of equally similar ones the first by name counts. Rows and centroids are dealt into
+    chunks of about CHUNK; a task scores one chunk of rows against one of centroids and an aggregation keeps the best, so
+    any number of either fits and nothing of size rows x candidates is kept.
     """
     import numpy as np
 
-    table = rows.select(key).join(vectors.select(key, "embedding"), key)
-    blocks = centroids.select(category, "centroid")
-    # Fixed bound: candidates are categories of an issue, not rows.
-    limit = 100_000
-    names = blocks.limit(limit + 1).collect()
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} candidate categories")
-    if not names:
-        return rows.select(key, F.lit(other).alias(category))
-    labels = [n[0] for n in sorted(names, key=lambda n: n[0])]
-    unit = np.array([n[1] for n in sorted(names, key=lambda n: n[0])], dtype=float)
-    norms = np.linalg.norm(unit, axis=1, keepdims=True)
-    unit = unit / np.where(norms == 0, 1, norms)
-
-    @F.pandas_udf("string")
-    def nearest(vecs: pd.Series) -> pd.Series:
-        if not len(vecs):
-            return pd.Series([], dtype="object")
-        x = np.stack(vecs.to_numpy()).astype(float)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        sims = x / np.where(size == 0, 1, size) @ unit.T
+    table = rows.select(key).distinct().join(vectors.select(key, "embedding").filter("embedding is not null"), key)
+    chunks = max(1, math.ceil(table.count() / CHUNK))
+    blocks = max(1, math.ceil(centroids.count() / CHUNK))
+
+    def dealt(of: Column, own: int, others: int, own_name: str, other_name: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(of), F.lit(own)).cast("int").alias(own_name), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other_name)]
+
+    left = table.select(F.col(key).alias("key"), "embedding", *dealt(F.col(key), chunks, blocks, "_chunk", "_block"))
+    right = centroids.select(F.col(category).alias("name"), "centroid", *dealt(F.col(category), blocks, chunks, "_block", "_chunk"))
+
+    def unit(x: pa.ChunkedArray) -> np.ndarray:
+        out = np.array(x.to_pylist(), dtype=float)
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(size == 0, 1, size)
+
+    def nearest(some: pa.Table, centres: pa.Table) -> pa.Table:
+        if not some.num_rows or not centres.num_rows:
+            return pa.table({"key": some["key"].slice(0, 0), "sim": pa.array([], pa.float64()), "name": pa.array([], pa.string())})
+        centres = centres.sort_by("name")
+        sims = unit(some["embedding"]) @ unit(centres["centroid"]).T
         best = sims.argmax(axis=1)
-        return pd.Series([labels[b] if sims[i, b] >= floor else other for i, b in enumerate(best)])
+        return pa.table({"key": some["key"], "sim": sims[np.arange(len(best)), best], "name": centres["name"].take(pa.array(best))})
 
-    found = table.select(key, nearest("embedding").alias(category))
-    return rows.select(key).join(found, key, "left").withColumn(category, F.coalesce(category, F.lit(other)))
+    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("sim", T.DoubleType()), T.StructField("name", T.StringType())])
+    scored = left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInArrow(nearest, schema)
+    top = scored.filter(F.col("sim") >= floor).groupBy(F.col("key").alias(key)).agg(F.min(F.struct((-F.col("sim")).alias("minus"), "name"))["name"].alias(category))
+    return rows.select(key).join(top, key, "left").withColumn(category, F.coalesce(category, F.lit(other)))
 
 
 def category_centroids(df: DataFrame, vectors: DataFrame, key: str, category: str) -> DataFrame:

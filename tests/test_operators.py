@@ -481,3 +481,25 @@ def test_near_texts_by_exact_terms(spark):
     df = spark.createDataFrame(rows, "id long, text string, content_length int")
     assert set(ids(neardup.drop_near_texts(df, threshold=0.925))) == set(range(len(rows))) - lost and len(lost) > 100
     assert neardup.drop_near_texts(df.limit(0), threshold=0.925).count() == 0
+
+
+def test_centroids_of_several_blocks(spark, monkeypatch):
+    """Chunks of rows and centroids give what all at once give, ties go to the first name, and centroids stay off the driver."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    x, c = draw.normal(size=(40, 6)), draw.normal(size=(30, 6))
+    c[11] = c[10] * 2
+    x[0], x[1] = c[10], 0
+    names = [f"c{i:02d}" for i in range(30)]
+    sims = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    want = {i: names[int(np.argmax(np.round(s, 12)))] if s.max() >= 0.6 else "Other" for i, s in enumerate(sims)} | {40: "Other", 41: "Other"}
+    rows = spark.createDataFrame([(i,) for i in range(42)], "id long")
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(41, None)], "id long, embedding array<double>")
+    centres = spark.createDataFrame(list(zip(names, c.tolist())), "cat string, centroid array<double>")
+    monkeypatch.setattr(model, "CHUNK", 7)
+    with monkeypatch.context() as m:
+        m.setattr(type(centres), "collect", None)
+        found = model.assign_by_centroid(rows, emb, centres, "id", "cat")
+    assert {r["id"]: r["cat"] for r in found.collect()} == want
+    assert {r["cat"] for r in model.assign_by_centroid(rows, emb, centres.limit(0), "id", "cat").collect()} == {"Other"}
