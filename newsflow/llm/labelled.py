@@ -19,7 +19,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, limit: int, target: str =
 
     Labels other than 0 and 1 and rows without an id or label don't count; an id with
     several labels has the smallest. The ids are those with the smallest hash, so that the same
-    rows are chosen every time. ``limit`` bounds what is sent to every task and to the driver.
+    rows are chosen every time. Of rows that share an id the smallest text counts, so that ``limit`` bounds
+    what is sent to every task and to the driver.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(target).alias("label"))
@@ -27,4 +28,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, limit: int, target: str =
         .groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return chosen.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", F.col("label").cast("int").alias("label"))

@@ -93,3 +93,11 @@ def test_strengths_order_pairs():
     score = model.score(x)
     assert np.mean((score >= 0.5) == y) > 0.9
     assert (score >= 0.5).mean() == pytest.approx(y.mean(), abs=0.01)  # the quantile of the poor share
+
+
+def test_a_labelled_id_counts_once(llm_spark):
+    from newsflow.llm.labelled import HELD_OUT, fold, labelled_texts
+    learned = [r[0] for r in llm_spark.range(100).filter(fold("id") != HELD_OUT).limit(3).collect()]
+    docs = llm_spark.createDataFrame([(learned[0], f"text {n}") for n in range(500, 0, -1)] + [(learned[1], None), (learned[1], "b"), (learned[2], None)], "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(i, 1) for i in learned], "doc_id long, quality int")
+    assert sorted(map(str, labelled_texts(docs, labels, 10).collect())) == sorted(f"Row(text={t!r}, label=1)" for t in ("text 1", "b", None))
