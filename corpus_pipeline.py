@@ -43,10 +43,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the boosted trees accept. The base rule is left to the query: it would also reject short clean texts."""
+    """Documents that the boosted trees accept, unless most of their words (50 at least) are in repeated windows.
+
+    The other half of op10's base rule, fewer than 50 words, is left to the query: it would also reject short clean texts.
+    """
     ship_package(spark)
     trees = fit_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_rules(_rows(docs), trees, "row").filter("verdict").select("row.*")
+    return quality_rules(_rows(docs), trees, "row").filter("verdict and not (n_words >= 50 and 100 * n_repeat_words > 50 * n_words)").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

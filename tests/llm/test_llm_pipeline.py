@@ -59,3 +59,11 @@ def test_columns_named_like_the_stage_s_own(llm_spark):
     out = corpus_pipeline.drop_near_duplicates(llm_spark, docs, FOLDER)
     assert out.columns == docs.columns
     assert sorted((str(r["doc_id"]), r["gone"]) for r in out.collect()) == [("1", 7), ("3", 1), ("None", 1)]
+
+
+def test_rules_stage_rejects_repeaters(llm_spark, monkeypatch):
+    judge = corpus_pipeline.quality_rules
+    monkeypatch.setattr(corpus_pipeline, "quality_rules", lambda docs, trees, key: judge(docs, trees, key, threshold=0.0))
+    rows = [(1, "buy it now " * 20), (2, "buy it now " * 3), (3, " ".join(f"word{i}" for i in range(60)))]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_rules(llm_spark, docs, FOLDER).collect()) == [2, 3]
