@@ -34,6 +34,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from newsflow.llm import chat_queries, dedup_queries, page_queries, quality_queries, token_queries, vector_queries  # noqa: F401
+    from newsflow.llm import chat_queries, dedup_queries, page_queries, phrase_queries, quality_queries, token_queries, vector_queries  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)
