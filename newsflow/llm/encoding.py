@@ -51,14 +51,21 @@ def word_cuts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~blank[1:] & blank[:-1]) + 1
 
 
-def space_cuts(data: np.ndarray) -> np.ndarray:
-    """Single spaces and line feeds between other characters, then marks behind letters: for tokenizers that keep white space."""
+def plain_space_cuts(data: np.ndarray, among: tuple[int, ...] = (32,)) -> np.ndarray:
+    """Single spaces (or other bytes of ``among``) between other characters."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
-    at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+    at = np.flatnonzero(np.isin(data[1:-1], among)) + 1
     before, after = data[at - 1], data[at + 1]
     odd = _SPACE[before] | _SPACE[after] | _FIRST[after] | (_LAST[before] & _INNER[data[np.maximum(at - 2, 0)]])
-    return np.concatenate([at[~odd], mark_cuts(data)])
+    return at[~odd]
+
+
+def space_cuts(data: np.ndarray) -> np.ndarray:
+    """Single spaces and line feeds between other characters, then marks behind letters: for tokenizers that keep white space."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    return np.concatenate([plain_space_cuts(data, (32, 10)), mark_cuts(data)])
 
 
 @dataclass
