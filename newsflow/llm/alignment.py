@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,9 +121,8 @@ class PieceTable:
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
 
-def cut_pieces(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def cut_pieces(data: np.ndarray, rows: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct pieces of texts that begin with a space, which of them follow each other, and how many each row has."""
-    data, rows = raw_bytes(column)
     cut = np.zeros(len(data), bool)
     cut[rows[:-1][np.diff(rows) > 0]] = True
     cut[plain_space_cuts(data)] = True
@@ -134,11 +132,16 @@ def cut_pieces(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(np.searchsorted(begin, rows))
 
 
-def spaced(column: pa.Array) -> pa.Array:
-    """A space before each text; null where there is no text."""
-    column = column.cast(pa.large_string())
-    column = pc.if_else(pc.equal(pc.binary_length(column), 0), pa.scalar(None, pa.large_string()), column)
-    return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string()))
+def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts with a space before each, and where each begins; nothing where there is no text."""
+    data, rows = raw_bytes(column)
+    size = np.diff(rows)
+    begin = np.concatenate([[0], np.cumsum(size + (size > 0))])
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    own = np.ones(len(out), bool)
+    own[begin[:-1][size > 0]] = False
+    out[own] = data
+    return out, begin
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -174,7 +177,7 @@ def _short_slices(path_a: str, path_b: str, with_groups: bool):
             for start, stop in slices(text, SLICE):
                 table = table or PieceTable(Pair(path_a, path_b))
                 n = stop - start
-                distinct, which, counts = cut_pieces(spaced(text.slice(start, n)))
+                distinct, which, counts = cut_pieces(*spaced(text.slice(start, n)))
                 place = table.places(distinct)[which] if len(which) else np.zeros(0, np.int64)
                 row = np.repeat(np.arange(n), counts)
                 told = table.numbers[place]
@@ -251,7 +254,7 @@ def _fragments(path_a: str, path_b: str):
         for batch in batches:
             for i, row in enumerate(batch.select(["uid", "doc_id", "part", "low", "high", "base"]).to_pylist()):
                 pair = pair or Pair(path_a, path_b)
-                distinct, which, _ = cut_pieces(batch.column("text").slice(i, 1))
+                distinct, which, _ = cut_pieces(*raw_bytes(batch.column("text").slice(i, 1)))
                 a, b, good = pair.encode(distinct)
                 t = pair.tokens([a[w] for w in which], [b[w] for w in which])
                 t = Tokens(t.a, t.a_end + row["base"], t.b, t.b_end + row["base"])
