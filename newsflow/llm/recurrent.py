@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from newsflow.llm.words import _sums, mix, raw_bytes
+from newsflow.llm.words import _sums, mix, raw_bytes, slices
 
 #: Words of a window and step between windows (every word is in two or more of a long text), sizes of the layers and of the hashed tables.
 WIDTH, STEP, INPUT, STATE, TABLE = 16, 8, 16, 8, 1 << 13
@@ -28,16 +28,20 @@ _VALUES[0] = 0
 class Forms:
     """Words (letters and digits, A-Z lowered) of some rows: distinct forms by hashed word and triples, and the form of each word."""
 
-    hashed: np.ndarray
+    prints: np.ndarray
     triples: np.ndarray
     owner: np.ndarray
     scale: np.ndarray
     form: np.ndarray
     first: np.ndarray
 
+    @property
+    def hashed(self) -> np.ndarray:
+        return (self.prints % np.uint64(TABLE)).astype(np.int64)
+
     @property
     def size(self) -> int:
-        return len(self.hashed)
+        return len(self.prints)
 
 
 def forms_of(column) -> Forms:
@@ -54,7 +58,7 @@ def forms_of(column) -> Forms:
     stop = limit[np.searchsorted(limit, start)]
     stop = np.minimum(stop, rows[np.minimum(np.searchsorted(rows, start, "right"), len(rows) - 1)])
     prints = _sums(_VALUES[data], start, len(data))
-    _, at, form = np.unique(prints, return_index=True, return_inverse=True)
+    prints, at, form = np.unique(prints, return_index=True, return_inverse=True)
     begin, size = start[at], stop[at] - start[at]
     # Bytes around each place of a form, zeros outside of it.
     owner = np.repeat(np.arange(len(at)), size)
@@ -63,9 +67,35 @@ def forms_of(column) -> Forms:
     left = np.where(place > 0, data[np.maximum(mid - 1, 0)], 0).astype(np.uint64)
     right = np.where(place + 1 < size[owner], data[np.minimum(mid + 1, max(len(data) - 1, 0))], 0).astype(np.uint64)
     code = (left << np.uint64(16)) | (data[mid].astype(np.uint64) << np.uint64(8)) | right
-    triples = (mix(code + np.uint64(1)) % np.uint64(TABLE)).astype(np.int64)
-    hashed = (prints[at] % np.uint64(TABLE)).astype(np.int64)
-    return Forms(hashed, triples, owner, 1 / np.sqrt(np.maximum(size, 1)), form, np.searchsorted(start, rows))
+    triples = (mix(code + np.uint64(1)) % np.uint64(TABLE)).astype(np.uint16)
+    return Forms(prints, triples, owner.astype(np.int32), (1 / np.sqrt(np.maximum(size, 1))).astype(np.float32), form.astype(np.int32), np.searchsorted(start, rows))
+
+
+def united(parts: list[Forms]) -> Forms:
+    """Forms of consecutive rows, made in slices, as one."""
+    if len(parts) == 1:
+        return parts[0]
+    prints, at = np.unique(np.concatenate([f.prints for f in parts]), return_index=True)
+    base = np.cumsum([0, *(f.size for f in parts)])
+    shift = np.cumsum([0, *(len(f.form) for f in parts)])
+    chosen = [chosen_forms(f, at[(at >= a) & (at < a + f.size)] - a) for f, a in zip(parts, base)]
+    owner = np.concatenate([f.owner + a for f, a in zip(chosen, np.cumsum([0, *(f.size for f in chosen)]))])
+    # Chosen forms come slice by slice; their order by fingerprint is that of ``prints``.
+    found = np.concatenate([f.prints for f in chosen])
+    place = np.argsort(np.argsort(found))
+    whole = Forms(found, np.concatenate([f.triples for f in chosen]), owner.astype(np.int32), np.concatenate([f.scale for f in chosen]), np.zeros(0, np.int32), np.zeros(0))
+    back = np.argsort(place)
+    whole.form = np.concatenate([back[np.searchsorted(prints, f.prints)][f.form] for f in parts]).astype(np.int32)
+    whole.first = np.concatenate([[0], *(f.first[1:] + a for f, a in zip(parts, shift))]).astype(np.int64)
+    return whole
+
+
+def chosen_forms(forms: Forms, used: np.ndarray) -> Forms:
+    size = np.bincount(forms.owner, minlength=forms.size)
+    begin = np.cumsum(size) - size
+    count = size[used]
+    at = np.arange(int(count.sum())) + np.repeat(begin[used] - (np.cumsum(count) - count), count)
+    return Forms(forms.prints[used], forms.triples[at], np.repeat(np.arange(len(used)), count).astype(np.int32), forms.scale[used], used, forms.first)
 
 
 def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +162,10 @@ class Network:
         return pooled @ p["out"] + p["base"], {"states": states, "weight": weight, "pooled": pooled, "trace": trace}
 
     def inward(self, x: np.ndarray, form: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Input parts of windows from input vectors of forms."""
-        parts = np.matmul(x[None], self.p["inward"]) + self.p["bias"]
-        parts = np.concatenate([parts, np.full((2, 1, 3 * STATE), np.nan, np.float32)], axis=1)
+        """Input parts of windows from input vectors of all forms."""
         place = starts[:, None] + np.arange(WIDTH)
         which = np.where(place < ends[:, None], form[np.minimum(place, len(form) - 1)] if len(form) else 0, len(x))
-        return parts[:, which]
+        return self.parts(x)[:, which]
 
     def gradients(self, inward: np.ndarray, which: np.ndarray, forms: Forms, x: np.ndarray, lost: np.ndarray, kept: dict) -> dict[str, np.ndarray]:
         """Derivatives for derivatives ``lost`` of the loss by the logits; ``which`` holds the form of each place (forms.size: none)."""
@@ -180,10 +208,32 @@ class Network:
         return g
 
     def logits(self, forms: Forms, starts: np.ndarray, ends: np.ndarray, block: int = 4096) -> np.ndarray:
-        x = self.inputs(forms)
-        out = [self.run(self.inward(x, forms.form, starts[i:i + block], ends[i:i + block]))[0] for i in range(0, len(starts), block)]
+        """Logits of windows; input vectors are made for all forms at once, or block by block where they are very many."""
+        x = self.inputs(forms) if forms.size <= 100_000 else None
+        out = []
+        for i in range(0, len(starts), block):
+            a, b = starts[i:i + block], ends[i:i + block]
+            if x is not None:
+                inward = self.inward(x, forms.form, a, b)
+            else:
+                local, some = self.local(forms, a, b)
+                inward = self.parts(self.inputs(some))[:, local]
+            out.append(self.run(inward)[0])
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """What each form adds to the gates of both directions, and NaN for a word that is not there."""
+        parts = np.matmul(x[None], self.p["inward"]) + self.p["bias"]
+        return np.concatenate([parts, np.full((2, 1, 3 * STATE), np.nan, np.float32)], axis=1)
+
+    def local(self, forms: Forms, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, Forms]:
+        """The forms of some windows, and their numbers among those at each place of the windows (their count: no word)."""
+        place = starts[:, None] + np.arange(WIDTH)
+        which = np.where(place < ends[:, None], forms.form[np.minimum(place, len(forms.form) - 1)] if len(forms.form) else 0, forms.size)
+        used, local = np.unique(which, return_inverse=True)
+        used = used[used < forms.size]
+        return local.reshape(which.shape), chosen_forms(forms, used)
+
     def texts(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: chance of label 1, windows, first word of the worst window (of equal ones the first)."""
         forms = forms_of(column)
@@ -218,7 +268,7 @@ def fit_network(column, label: np.ndarray, epochs: int = 6, batch: int = 24, mos
         net.p["out"][:], net.p["base"][:] = 0, 4 if len(label) and label[0] else -4
         return net
     draw = np.random.Generator(np.random.PCG64(seed))
-    forms = forms_of(column)
+    forms = united([forms_of(column.slice(a, b - a)) for a, b in slices(column)])
     starts, row = window_starts(forms.first)
     begin = np.searchsorted(row, np.arange(len(label) + 1))
     ends = forms.first[row + 1]
@@ -243,15 +293,9 @@ def fit_network(column, label: np.ndarray, epochs: int = 6, batch: int = 24, mos
                 chosen.append(own)
                 owner.append(np.full(len(own), k))
             chosen, owner = np.concatenate(chosen), np.concatenate(owner)
-            place = starts[chosen][:, None] + np.arange(WIDTH)
-            which = np.where(place < ends[chosen][:, None], forms.form[np.minimum(place, len(forms.form) - 1)] if len(forms.form) else 0, forms.size)
-            used, local = np.unique(which, return_inverse=True)
-            used = used[used < forms.size]
-            local = local.reshape(which.shape)
-            some = _chosen_forms(forms, used)
+            local, some = net.local(forms, starts[chosen], ends[chosen])
             x = net.inputs(some)
-            parts = np.concatenate([np.matmul(x[None], net.p["inward"]) + net.p["bias"], np.full((2, 1, 3 * STATE), np.nan, np.float32)], axis=1)
-            inward = parts[:, local]
+            inward = net.parts(x)[:, local]
             logit, kept = net.run(inward, keep=True)
             value, share = shares(logit.astype(float), owner, len(docs))
             lost = ((1 / (1 + np.exp(-np.clip(value, -30, 30))) - label[docs]) / len(docs))[owner] * share
@@ -267,14 +311,6 @@ def fit_network(column, label: np.ndarray, epochs: int = 6, batch: int = 24, mos
     return net
 
 
-def _chosen_forms(forms: Forms, used: np.ndarray) -> Forms:
-    size = np.bincount(forms.owner, minlength=forms.size)
-    begin = np.cumsum(size) - size
-    count = size[used]
-    at = np.arange(int(count.sum())) + np.repeat(begin[used] - (np.cumsum(count) - count), count)
-    return Forms(forms.hashed[used], forms.triples[at], np.repeat(np.arange(len(used)), count), forms.scale[used], used, forms.first)
-
-
 def best_cut(value: np.ndarray, label: np.ndarray) -> float:
     """The middle of the widest of the cuts with the fewest wrong texts, both labels weighed alike."""
     order = np.argsort(value, kind="stable")
