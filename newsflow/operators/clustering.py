@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,8 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsflow.operators import vectors
+from newsflow.operators import hierarchy, vectors
+from newsflow.operators.components import connected_components, minimum_spanning_edges  # noqa: F401
 from newsflow.operators.dedup import top_per_key
 from newsflow.session import cut_lineage
 
@@ -81,133 +81,16 @@ def nearest_neighbours(merged: DataFrame, k: int) -> DataFrame:
     return cut_lineage(top_per_key(inside.unionByName(outside), ["vid"], ["dist", "other"], k))
 
 
-def core_distances(merged: DataFrame, neighbours: DataFrame, min_samples: int) -> DataFrame:
-    """``(vid, core)``: distance within which a point has ``min_samples`` points, itself included.
+def density_clusters(df: DataFrame, key: str, vec: str, min_cluster_size: int = 5, min_samples: int | None = None) -> DataFrame:
+    """``(key, cluster)``: density clusters, -1 for noise and rows without a vector.
 
-    Copies of a vector count as points at distance 0.
+    The full hierarchy of mutual reachability (see `hierarchy`), clusters chosen by excess of mass; the whole data set is
+    never one cluster. A cluster's number is the rank of its smallest member, starting at 0.
     """
-    copies = merged.select(F.col("vid").alias("other"), F.col("copies").alias("_c"))
-    own = merged.select("vid", F.col("copies").alias("_own"))
-    ordered = Window.partitionBy("vid").orderBy("dist", "other").rowsBetween(Window.unboundedPreceding, 0)
-    # k rows per vid.
-    reached = (
-        neighbours.join(copies, "other").join(own, "vid")
-        .withColumn("_points", F.sum("_c").over(ordered) + F.col("_own"))
-    )
-    found = reached.filter(F.col("_points") >= min_samples).groupBy("vid").agg(F.min("dist").alias("_core"))
-    return own.join(found, "vid", "left").select(
-        "vid",
-        F.when(F.col("_own") >= min_samples, 0.0)
-        .otherwise(F.coalesce("_core", F.lit(float("inf")))).alias("core"),
-    )
-
-
-def reachability_edges(neighbours: DataFrame, cores: DataFrame) -> DataFrame:
-    """``(a, b, w)``: neighbour pairs with their mutual reachability distance, a < b."""
-    ca = cores.select(F.col("vid"), F.col("core").alias("_ca"))
-    cb = cores.select(F.col("vid").alias("other"), F.col("core").alias("_cb"))
-    weight = F.greatest("dist", "_ca", "_cb")
-    low, high = F.least("vid", "other"), F.greatest("vid", "other")
-    return (
-        neighbours.join(ca, "vid").join(cb, "other")
-        .groupBy(low.alias("a"), high.alias("b")).agg(F.min(weight).alias("w"))
-        .filter(F.col("w") < float("inf"))
-    )
-
-
-# ---------------------------------------------------------------- components
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, comp)`` with the smallest node of the component.
-
-    Alternating large-star and small-star steps (Kiveris et al. 2014) on the edge list:
-    the number of rounds grows with the logarithm of the diameter, and the edge list never
-    grows. Each round's edges are written out.
-    """
-    stars = cut_lineage(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    )
-    previous = None
-    for _ in range(max_rounds):
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
-            .unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
-            .filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        )
-        stars = cut_lineage(small)
-        state = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == previous:
-            break
-        previous = state
-    else:
-        raise RuntimeError("components did not settle")
-    joined = nodes.select("node").join(stars.select(F.col("a").alias("node"), F.col("b").alias("comp")), "node", "left")
-    return joined.select("node", F.coalesce("comp", "node").alias("comp"))
-
-
-def component_levels(points: DataFrame, edges: DataFrame, cuts: Sequence[float], min_size: int) -> tuple[DataFrame, DataFrame]:
-    """Components per cut: ``(level, comp, size)`` of at least ``min_size``, ``(level, vid, comp)``.
-
-    Every level is its own copy of the graph (node = vid * levels + level), so one run of
-    component rounds settles all of them together. ``points`` has ``vid`` and ``copies``.
-    """
-    n = len(cuts)
-    grid = F.array(*[F.struct(F.lit(i).cast("long").alias("level"), F.lit(float(c)).alias("cut")) for i, c in enumerate(cuts)])
-
-    def node(name: str) -> Column:
-        return F.col(name) * n + F.col("level")
-
-    levelled = edges.select("a", "b", "w", F.explode(grid).alias("g")).select("a", "b", "w", "g.level", "g.cut")
-    graph = levelled.filter(F.col("w") <= F.col("cut")).select(node("a").alias("a"), node("b").alias("b"))
-    nodes = points.select("vid", "copies", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("level"))
-    found = connected_components(nodes.select(node("vid").alias("node")), graph)
-    members = cut_lineage(found.select(
-        F.pmod("node", F.lit(n)).cast("int").alias("level"), F.floor(F.col("node") / n).alias("vid"),
-        F.floor(F.col("comp") / n).alias("comp")))
-    sizes = (
-        members.join(points.select("vid", "copies"), "vid").groupBy("level", "comp").agg(F.sum("copies").alias("size"))
-        .filter(F.col("size") >= min_size)
-    )
-    return cut_lineage(sizes), members
-
-
-def density_clusters(
-    df: DataFrame, key: str, vec: str, min_cluster_size: int = 5, min_samples: int | None = None,
-    levels: int = 10, neighbours: DataFrame | None = None,
-) -> DataFrame:
-    """``(key, cluster)``: density clusters, -1 for noise.
-
-    Mutual reachability over nearest neighbours, cut at ``levels`` quantiles of the edge
-    weights; the cuts form a tree of components, and clusters are chosen by excess of mass:
-    a component is taken when its stability exceeds the sum over its parts. The whole data
-    set is never one cluster. More levels approach the full hierarchy. A cluster's number
-    is the rank of its smallest member, starting at 0.
-    """
-    min_samples = min_samples or min_cluster_size
-    merged = cut_lineage(vectors.merge_copies(df.select(key, F.col(vec).cast("array<double>").alias(vec)), key, vec))
-    if neighbours is None:
-        neighbours = nearest_neighbours(merged, max(min_samples, min_cluster_size))
-    edges = cut_lineage(reachability_edges(neighbours, core_distances(merged, neighbours, min_samples)))
-    grid = [i / levels for i in range(1, levels + 1)]
-    cuts = edges.agg(F.percentile_approx("w", [float(g) for g in grid], 10000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c is not None})
-    if not cuts:
-        return df.select(key, F.lit(-1).alias("cluster"))
-    sizes, members = component_levels(merged, edges, cuts, min_cluster_size)
-    chosen = _excess_of_mass(sizes, members, cuts)
-    labels = members.join(chosen, ["level", "comp"]).select("vid", F.col("comp").alias("_c"))
-    numbers = _dense_labels(labels)
-    labels = labels.join(numbers, "_c").select("vid", "cluster")
-    rows = df.select(key, F.col(vec).cast("array<double>").alias(vec))
-    owned = vectors.first_copies(rows, merged, key, vec)
-    found = owned.join(labels, "vid", "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+    found, _, _ = hierarchy.hierarchy_labels(df, key, vec, [min_samples or min_cluster_size], [min_cluster_size])
+    labels = found.filter("crep is not null").select(F.col("rep").alias("vid"), F.struct("crep", "cw").alias("_c"))
+    labels = labels.join(_dense_labels(labels), "_c").select(F.col("vid").alias(key), "cluster")
+    return df.select(key).join(labels, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def _dense_labels(labels: DataFrame) -> DataFrame:
@@ -217,53 +100,6 @@ def _dense_labels(labels: DataFrame) -> DataFrame:
     return number_rows(firsts, ["_first"], "_n").select("_c", (F.col("_n") - 1).alias("cluster"))
 
 
-def _excess_of_mass(sizes: DataFrame, members: DataFrame, cuts: Sequence[float]) -> DataFrame:
-    """``(level, comp)`` of the chosen components."""
-    top = len(cuts) - 1
-    density = [1.0 / c if c > 0 else float("1e12") for c in cuts]
-    # A component's smallest member names it, so its parent is that member's component one up.
-    up = members.select((F.col("level") - 1).alias("level"), F.col("vid").alias("comp"), F.col("comp").alias("parent"))
-    tree = cut_lineage(sizes.join(up, ["level", "comp"], "left"))
-    nodes = None
-    below = None
-    for level in range(top + 1):
-        gain = density[level] - (density[level + 1] if level < top else 0.0)
-        here = tree.filter(F.col("level") == level).withColumn("own", F.col("size") * float(gain))
-        if below is not None:
-            parts = below.groupBy(F.col("parent").alias("comp")).agg(
-                F.count(F.lit(1)).alias("n_parts"), F.sum("own_total").alias("s_own"),
-                F.sum(F.greatest("own_total", "parts_total")).alias("s_best"), F.sum("parts_total").alias("s_parts"),
-            )
-            here = here.join(parts, "comp", "left").fillna(0, ["n_parts", "s_own", "s_best", "s_parts"])
-        else:
-            here = here.withColumns({c: F.lit(0.0) for c in ("s_own", "s_best", "s_parts")}).withColumn("n_parts", F.lit(0))
-        # With one part the component is the same cluster seen at a lower density.
-        same = F.col("n_parts") == 1
-        here = here.select(
-            "level", "comp", "parent", "n_parts",
-            (F.col("own") + F.when(same, F.col("s_own")).otherwise(0.0)).alias("own_total"),
-            F.when(same, F.col("s_parts")).otherwise(F.when(F.col("n_parts") > 1, F.col("s_best")).otherwise(0.0)).alias("parts_total"),
-        )
-        below = cut_lineage(here)
-        nodes = below if nodes is None else nodes.unionByName(below)
-    # Going down: a node is open while no node above it was taken. A cluster is taken at its
-    # lowest density, which is where its parent has several parts.
-    alone = below.count() == 1
-    open_nodes = below.withColumn("is_head", F.lit(not alone))
-    chosen = None
-    for level in range(top, -1, -1):
-        takes = F.col("is_head") & (F.col("own_total") >= F.col("parts_total"))
-        picked = open_nodes.filter(takes).select("level", "comp")
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-        if level == 0:
-            break
-        # A head that was not taken hands the role to the next split; so does the root.
-        rest = open_nodes.filter(~takes).select(F.col("comp").alias("parent"), (F.col("n_parts") > 1).alias("is_head"))
-        lower = nodes.filter(F.col("level") == level - 1)
-        open_nodes = cut_lineage(lower.join(rest, "parent"))
-    return cut_lineage(chosen)
-
-
 # ---------------------------------------------------------------- quality
 
 
@@ -344,105 +180,109 @@ def silhouette(df: DataFrame, key: str, label: str, vec: str, noise: int = -1) -
     All rows meet in bounded blocks; a block adds up distances per (row, cluster), so what
     is shuffled is rows x clusters, not pairs.
     """
-    rows = cut_lineage(
-        df.filter(F.col(label) != noise).select(
-            F.col(key).cast("long").alias("vid"), F.col(label).cast("long").alias("label"),
-            F.col(vec).cast("array<double>").alias("vec"), F.lit(0).alias("cell"),
-        )
-    )
+    rows = df.filter(F.col(label) != noise).select(
+        F.col(key).cast("long").alias("vid"), F.array(F.col(label).cast("long")).alias("labels"), F.col(vec).cast("array<double>").alias("vec"))
+    return silhouettes(rows, 1).select("silhouette")
+
+
+def silhouettes(rows: DataFrame, trials: int) -> DataFrame:
+    """``(trial, silhouette)`` of several labellings ``(vid, vec, labels)`` at once, null labels being noise: distances are computed once."""
+    rows = cut_lineage(rows.withColumn("cell", F.lit(0)))
 
     def sums(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        x, y = vectors.matrix(probe), vectors.matrix(home)
-        dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0))
-        dist[probe["vid"].to_numpy()[:, None] == home["vid"].to_numpy()[None, :]] = 0.0
-        labels, codes = np.unique(home["label"].to_numpy(), return_inverse=True)
-        total = dist @ np.eye(len(labels))[codes]
-        return pd.DataFrame({
-            "vid": np.repeat(probe["vid"].to_numpy(), len(labels)),
-            "own": np.repeat(probe["label"].to_numpy(), len(labels)),
-            "other": np.tile(labels, len(x)), "d": total.ravel(),
-        })
-
-    parts = vectors.compare_blocks(rows, rows, sums, "vid long, own long, other long, d double")
-    counts = rows.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    totals = parts.groupBy("vid", "own", "other").agg(F.sum("d").alias("d")).join(counts, "other")
+        dist = hierarchy.distances(vectors.matrix(probe), vectors.matrix(home))
+        ids = probe["vid"].to_numpy()
+        dist[ids[:, None] == home["vid"].to_numpy()[None, :]] = 0.0
+        out = []
+        for trial in range(trials):
+            own, other = (_trial_labels(x, trial) for x in (probe, home))
+            labels, codes = np.unique(other[1], return_inverse=True)
+            if not len(labels) or not len(own[0]):
+                continue
+            total = dist[np.ix_(own[0], other[0])] @ np.eye(len(labels))[codes]
+            out.append(pd.DataFrame({
+                "trial": trial, "vid": np.repeat(ids[own[0]], len(labels)), "own": np.repeat(own[1], len(labels)),
+                "other": np.tile(labels, len(own[0])), "d": total.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("trial", "vid", "own", "other", "d")})
+
+    parts = vectors.compare_blocks(rows, rows, sums, "trial int, vid long, own long, other long, d double")
+    counts = rows.select(F.posexplode("labels").alias("trial", "other")).filter("other is not null").groupBy("trial", "other").agg(F.count(F.lit(1)).alias("n"))
+    totals = parts.groupBy("trial", "vid", "own", "other").agg(F.sum("d").alias("d")).join(counts, ["trial", "other"])
     mine = F.col("own") == F.col("other")
-    per_row = totals.groupBy("vid").agg(
+    per_row = totals.groupBy("trial", "vid").agg(
         F.max(F.when(mine, F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)))).alias("a"),
         F.min(F.when(~mine, F.col("d") / F.col("n"))).alias("b"),
     )
     widest = F.greatest("a", "b")
     score = F.when(F.col("a").isNull() | (widest == 0), 0.0).otherwise((F.col("b") - F.col("a")) / widest)
-    return per_row.filter(F.col("b").isNotNull()).agg(F.avg(score).alias("silhouette"))
+    found = per_row.filter(F.col("b").isNotNull()).groupBy("trial").agg(F.avg(score).alias("silhouette"))
+    grid = rows.sparkSession.range(trials).select(F.col("id").cast("int").alias("trial"))
+    return grid.join(found, "trial", "left")
+
 
+def _trial_labels(rows: pd.DataFrame, trial: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and labels of the rows that are not noise in a trial."""
+    labels = [x[trial] for x in rows["labels"]]
+    at = np.array([i for i, x in enumerate(labels) if x is not None and x == x], np.int64)
+    return at, np.array([labels[i] for i in at], np.int64)
 
-def minimum_spanning_edges(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Boruvka: per round every component takes its lightest edge to another one.
 
-    ``nodes`` has ``node``; ``edges`` has ``a``, ``b``, ``w``. Ties are broken by the ends.
+def separations(rows: DataFrame, runs: list[int]) -> DataFrame:
+    """``(trial, label, apart)``: the closest mutual reachability from a cluster to a row of any other one.
+
+    ``rows`` has ``vid``, ``vec``, ``cores`` and ``labels``; trial t uses core distance ``runs[t]``. Every two chunks meet, so
+    the closest pair is among them whichever neighbours the clusters' rows have.
     """
-    comp = nodes.select("node", F.col("node").alias("comp"))
-    taken = None
-    left = edges.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y"))
-    for _ in range(max_rounds):
-        sides = left.select(F.col("a").alias("c"), "w", "x", "y").unionByName(
-            left.select(F.col("b").alias("c"), "w", "x", "y"))
-        best = sides.groupBy("c").agg(F.min(F.struct("w", "x", "y")).alias("e")).select("c", "e.*")
-        best = cut_lineage(best.select("w", "x", "y").distinct())
-        if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
-        lookup = comp.select(F.col("node"), "comp")
-        ends = (
-            best.join(lookup.select(F.col("node").alias("x"), F.col("comp").alias("a")), "x")
-            .join(lookup.select(F.col("node").alias("y"), F.col("comp").alias("b")), "y").select("a", "b")
-        )
-        joined = connected_components(comp.select(F.col("comp").alias("node")).distinct(), ends).withColumnRenamed("comp", "_to")
-        comp = cut_lineage(comp.join(joined.withColumnRenamed("node", "comp"), "comp").select("node", F.col("_to").alias("comp")))
-        to = joined.select("node", "_to")
-        left = cut_lineage(
-            left.join(to.select(F.col("node").alias("a"), F.col("_to").alias("_a")), "a")
-            .join(to.select(F.col("node").alias("b"), F.col("_to").alias("_b")), "b")
-            .filter(F.col("_a") != F.col("_b"))
-            .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "w", "x", "y")
-            .groupBy("a", "b").agg(F.min(F.struct("w", "x", "y")).alias("e")).select("a", "b", "e.*")
-        )
-    if taken is None:
-        return nodes.sparkSession.createDataFrame([], "a long, b long, w double")
-    return taken.select(F.col("x").alias("a"), F.col("y").alias("b"), "w").distinct()
+    rows = cut_lineage(rows.withColumn("cell", F.lit(0)))
+
+    def closest(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
+        dist = hierarchy.distances(vectors.matrix(probe), vectors.matrix(home))
+        out = []
+        for trial, run in enumerate(runs):
+            own, other = (_trial_labels(x, trial) for x in (probe, home))
+            if not len(own[0]) or not len(other[0]):
+                continue
+            a, b = (np.array([x[run] for x in f["cores"].iloc[at]]) for f, at in ((probe, own[0]), (home, other[0])))
+            weight = np.maximum(np.maximum(dist[np.ix_(own[0], other[0])], a[:, None]), b[None, :])
+            weight[own[1][:, None] == other[1][None, :]] = np.inf
+            best = pd.DataFrame({"trial": trial, "label": own[1], "apart": weight.min(axis=1)})
+            out.append(best.groupby(["trial", "label"], as_index=False).min())
+        out = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("trial", "label", "apart")})
+        return out[np.isfinite(out["apart"].astype(float))]
+
+    return vectors.compare_blocks(rows, rows, closest, "trial int, label long, apart double").groupBy("trial", "label").agg(F.min("apart").alias("apart"))
+
+
+def validities(clusters: DataFrame) -> DataFrame:
+    """``(trial, validity)`` from ``(trial, label, n, total, sparse, apart)``.
+
+    Per cluster (separation - sparseness) / the larger, weighted by its share of all rows. A single cluster scores 1.
+    """
+    sparse, apart = F.coalesce("sparse", F.lit(0.0)), F.col("apart")
+    widest = F.greatest(apart, sparse)
+    score = F.when(apart.isNull(), 1.0).when(widest == 0, 0.0).otherwise((apart - sparse) / widest)
+    return clusters.groupBy("trial").agg(F.sum(F.col("n") * score / F.col("total")).alias("validity"))
 
 
-def validity(df: DataFrame, key: str, label: str, vec: str, noise: int = -1, neighbours: int = 16) -> DataFrame:
-    """Density validity over neighbour edges, one row.
+def validity(df: DataFrame, key: str, label: str, vec: str, noise: int = -1, min_samples: int = 5) -> DataFrame:
+    """Density validity of given labels, one row.
 
-    Per cluster: sparseness is the heaviest edge of its spanning tree, separation the
-    lightest edge to another cluster; its score (separation - sparseness) / max of both
-    is weighted by its share of all rows, noise included. A cluster without an edge to
-    another one is separated for good and scores 1.
+    Per cluster: sparseness is the heaviest edge of its own spanning tree by mutual reachability, separation the
+    closest reachability to any other cluster, over all pairs of rows. Core distances are those among the rows
+    that are not noise; the share of noise counts in the weights.
     """
     total = df.select(F.count(F.lit(1))).scalar()
     rows = df.filter(F.col(label) != noise).select(
-        F.col(key).cast("long").alias("vid"), F.col(vec).cast("array<double>").alias("vec"),
-        F.col(label).cast("long").alias("label"),
-    )
-    points = cut_lineage(rows.withColumn("copies", F.lit(1).cast("long")))
-    near = nearest_neighbours(points.select("vid", "vec", "copies"), neighbours)
-    edges = cut_lineage(reachability_edges(near, core_distances(points, near, min(5, neighbours))))
-    a = points.select(F.col("vid").alias("a"), F.col("label").alias("la"))
-    b = points.select(F.col("vid").alias("b"), F.col("label").alias("lb"))
-    sided = cut_lineage(edges.join(a, "a").join(b, "b"))
-    inner = minimum_spanning_edges(points.select(F.col("vid").alias("node")), sided.filter("la = lb").select("a", "b", "w"))
-    sparse = inner.join(a, "a").groupBy(F.col("la").alias("label")).agg(F.max("w").alias("sparse"))
-    cross = sided.filter("la <> lb")
-    apart = (
-        cross.select(F.col("la").alias("label"), "w").unionByName(cross.select(F.col("lb").alias("label"), "w"))
-        .groupBy("label").agg(F.min("w").alias("apart"))
-    )
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    both = sizes.join(sparse, "label", "left").join(apart, "label", "left").fillna(0.0, ["sparse"])
-    widest = F.greatest("apart", "sparse")
-    score = F.when(F.col("apart").isNull(), 1.0).when(widest == 0, 0.0).otherwise((F.col("apart") - F.col("sparse")) / widest)
-    return both.agg((F.sum(F.col("n") * score) / total).alias("validity"))
+        F.col(key).cast("long").alias("vid"), F.col(vec).cast("array<double>").alias("vec"), F.array(F.col(label).cast("long")).alias("labels"))
+    rows = cut_lineage(rows)
+    points = rows.select("vid", "vec", F.lit(1).cast("long").alias("copies"))
+    near = nearest_neighbours(points, min_samples)
+    cored = cut_lineage(hierarchy.core_table(points, near, [min_samples]).join(rows.select("vid", "labels"), "vid"))
+    tree = hierarchy.spanning_tree(cored, 1, within="labels")
+    inner = tree.join(rows.select(F.col("vid").alias("a"), F.col("labels")[0].alias("label")), "a").groupBy("label").agg(F.max("w").alias("sparse"))
+    sizes = rows.groupBy(F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    clusters = sizes.join(inner, "label", "left").join(separations(cored, [0]).drop("trial"), "label", "left")
+    return validities(clusters.withColumns({"trial": F.lit(0), "total": total})).select("validity")
 
 
 def composite_score(silhouette: Column | str, validity: Column | str) -> Column:
@@ -452,30 +292,40 @@ def composite_score(silhouette: Column | str, validity: Column | str) -> Column:
     return F.when(s.isNotNull(), 0.5 * F.greatest(s, F.lit(0.0)) + 0.5 * F.greatest(F.coalesce(v, F.lit(0.0)), F.lit(0.0)))
 
 
-def search_parameters(
-    df: DataFrame, key: str, vec: str, sizes: Sequence[int], samples: Sequence[int], levels: int = 8
-) -> DataFrame:
+def search_parameters(df: DataFrame, key: str, vec: str, sizes: Sequence[int] = tuple(range(2, 11)), samples: Sequence[int] | None = None) -> DataFrame:
     """Trials ``(min_cluster_size, min_samples, n_clusters, noise_ratio, score)``, best first.
 
-    The score is the squared-distance silhouette, -1 with fewer than two clusters or more
-    than 80 % noise. All trials share one neighbour table.
+    Every min_samples from 1 to min_cluster_size, or those of ``samples`` up to it. The score is the composite of silhouette and density validity, -1 with
+    fewer than two clusters or more than 80 % noise. All trials share one neighbour table and one pass over the distances; trials of a
+    min_samples share a spanning tree and its merges.
     """
-    merged = cut_lineage(vectors.merge_copies(df.select(key, F.col(vec).cast("array<double>").alias(vec)), key, vec))
-    near = nearest_neighbours(merged, max(*sizes, *samples))
-    results = []
-    for size, sample in product(sizes, samples):
-        if sample > size:
-            continue
-        labels = cut_lineage(density_clusters(df, key, vec, size, sample, levels, near))
-        counts = labels.agg(
-            F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))), F.avg((F.col("cluster") < 0).cast("double"))
-        ).first()
-        score = -1.0
-        if counts[0] >= 2 and counts[1] <= 0.8:
-            score = silhouette_squared(df.join(labels, key), "cluster", vec) or -1.0
-        results.append((size, sample, counts[0], counts[1], float(score)))
-    schema = "min_cluster_size int, min_samples int, n_clusters long, noise_ratio double, score double"
-    return df.sparkSession.createDataFrame(results, schema).orderBy(F.desc("score"), "min_cluster_size", "min_samples")
+    samples = sorted(set(samples or range(1, max(sizes) + 1)))
+    trials = [(size, i) for size in sorted(set(sizes)) for i, sample in enumerate(samples) if sample <= size]
+    found, edges, cored = hierarchy.hierarchy_labels(df, key, vec, samples, sorted(set(sizes)))
+    spark = df.sparkSession
+    plan = spark.createDataFrame([(t, i, size, samples[i]) for t, (size, i) in enumerate(trials)], "trial int, run int, m int, min_samples int")
+    # Chosen clusters are disjoint, so the smallest member names one.
+    labels = found.join(F.broadcast(plan), ["run", "m"]).select("trial", "run", "rep", F.col("crep").alias("label"))
+    labels = cut_lineage(labels)
+    counts = labels.groupBy("trial").agg(
+        F.count_distinct("label").alias("n_clusters"), F.avg(F.col("label").isNull().cast("double")).alias("noise_ratio"), F.count(F.lit(1)).alias("total"))
+    fine = cut_lineage(counts.withColumn("fine", (F.col("n_clusters") >= 2) & (F.col("noise_ratio") <= 0.8)))
+    used = labels.join(F.broadcast(fine.filter("fine").select("trial")), "trial").filter("label is not null")
+    # One array per row with a label for every trial.
+    lists = used.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("trial", "label"))).alias("by_trial"))
+    rows = df.select(F.col(key).cast("long").alias("rep"), F.col(vec).cast("array<double>").alias("vec")).join(lists, "rep")
+    arrays = F.array(*[F.try_element_at("by_trial", F.lit(t)) for t in range(len(trials))])
+    owned = vectors.first_copies(rows, cored, "rep", "vec").join(cored.select("vid", "cores"), "vid").select("rep", "cores")
+    rows = cut_lineage(rows.join(owned, "rep").select(F.col("rep").alias("vid"), "vec", "cores", arrays.alias("labels")))
+    apart = separations(rows, [i for _, i in trials])
+    ends = [used.select("trial", "run", F.col("rep").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
+    inner = edges.join(ends[0], ["run", "a"]).join(ends[1], ["trial", "run", "b"]).filter("la = lb").groupBy("trial", F.col("la").alias("label")).agg(F.max("w").alias("sparse"))
+    own = used.groupBy("trial", "label").agg(F.count(F.lit(1)).alias("n"))
+    clusters = own.join(inner, ["trial", "label"], "left").join(apart, ["trial", "label"], "left").join(fine.select("trial", "total"), "trial")
+    scored = fine.join(silhouettes(rows.select("vid", "vec", "labels"), len(trials)), "trial").join(validities(clusters), "trial", "left")
+    score = F.when(F.col("fine"), F.coalesce(composite_score("silhouette", "validity"), F.lit(-1.0))).otherwise(-1.0)
+    out = scored.join(F.broadcast(plan), "trial").select(F.col("m").alias("min_cluster_size"), "min_samples", "n_clusters", "noise_ratio", score.alias("score"))
+    return out.orderBy(F.desc("score"), "min_cluster_size", "min_samples")
 
 
 # ---------------------------------------------------------------- labels, order, names

@@ -155,14 +155,90 @@ def reduce_dimensions(spark, d):
     return out.select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("reduced"))
 
 
-@query("cluster_density")
+def _hierarchy_sql(samples: str, sizes: str) -> str:
+    """CTEs up to ``chosen`` (s, m, l, r, w): clusters as stretches of the order in which a spanning tree is grown.
+
+    Rows up to a weight that belong together stand side by side in that order, so every node of the hierarchy is the longest stretch around
+    a row whose connecting weights do not pass the row's.
+    """
+    return f"""with recursive
+    e as materialized (select row_number() over (order by vec_id)::int as i, vec_id, embedding::double[] as v from embeddings),
+    ss as (select unnest({samples})::int as s), ms as (select unnest({sizes})::int as m),
+    d as materialized (select a.i, b.i as j, round(list_distance(a.v, b.v), 9) as d from e a join e b on a.i <> b.i),
+    near as (select i, d, row_number() over (partition by i order by d) + 1 as k from d),
+    core as materialized (select s, i, case when s = 1 then 0 else d end as core from ss join near on k = greatest(s, 2)),
+    reach as materialized (select a.s, d.i, d.j, greatest(d.d, a.core, b.core) as w from d join core a on a.i = d.i join core b on b.i = d.j and b.s = a.s),
+    lists as materialized (select s, i, list(w order by j) as w from (select s, i, j, w from reach union all select s, i, i, 'infinity' from core) group by 1, 2),
+    grown as (
+      select s, 1 as k, 1 as i, 'infinity'::double as w, list_transform(w, lambda x, j: case when j = 1 then null else x end) as left_ from lists where i = 1
+      union all
+      select g.s, k + 1, g.next_::int, g.low, list_transform(left_, lambda x, j: case when x is null or j = g.next_ then null else least(x, l.w[j]) end)
+      from (select *, list_min(left_) as low, list_position(left_, list_min(left_)) as next_ from grown where list_min(left_) is not null) g join lists l on l.s = g.s and l.i = g.next_),
+    o as materialized (select s, k, i, w from grown),
+    nodes as materialized (
+      select distinct s, l, r, w, r - l as size from (
+        select o.s, o.k, any_value(o.w) as w, max(p.k) filter (p.k < o.k) as l, coalesce(min(p.k) filter (p.k > o.k), (select max(k) + 1 from o)) as r
+        from o join o p on p.s = o.s and p.w > o.w where o.k > 1 group by 1, 2)),
+    big as materialized (select m, n.* from nodes n join ms on size >= m),
+    up as materialized (
+      select b.s, b.m, b.l, b.r, b.size, b.w, p.l as pl, p.r as pr, p.w as pw from big b left join big p on p.s = b.s and p.m = b.m and p.l <= b.l and p.r >= b.r and p.size > b.size
+      qualify row_number() over (partition by b.s, b.m, b.l, b.r order by p.size) = 1),
+    parts as materialized (select s, m, pl as l, pr as r, count(*) as n_big, sum(size) as in_big from up where pl is not null group by all),
+    heads as materialized (
+      select up.s, up.m, up.l, up.r, up.size, up.pl, up.pr, case when pl is null then 0 else 1 / greatest(pw, 1e-12) end as birth
+      from up left join parts p on p.s = up.s and p.m = up.m and p.l = pl and p.r = pr where pl is null or n_big >= 2),
+    owned as materialized (
+      select up.s, up.m, up.l, up.r, up.size, up.w, h.l as hl, h.r as hr, h.birth from up join heads h on h.s = up.s and h.m = up.m and h.l <= up.l and h.r >= up.r
+      qualify row_number() over (partition by up.s, up.m, up.l, up.r order by h.size) = 1),
+    mass as materialized (
+      select o.s, o.m, hl as l, hr as r, sum((size - case when n_big = 1 then in_big else 0 end) * (1 / greatest(w, 1e-12) - birth)) as mass
+      from owned o left join parts p on p.s = o.s and p.m = o.m and p.l = o.l and p.r = o.r group by all),
+    tree as materialized (
+      select h.s, h.m, h.l, h.r, h.size, h.pl is null as root, mass, o.hl, o.hr, row_number() over (partition by h.s, h.m order by h.size, h.l) as q
+      from heads h join mass x on x.s = h.s and x.m = h.m and x.l = h.l and x.r = h.r left join owned o on o.s = h.s and o.m = h.m and o.l = h.pl and o.r = h.pr),
+    kids as materialized (select t.*, coalesce((select list(c.q) from tree c where c.s = t.s and c.m = t.m and c.hl = t.l and c.hr = t.r), []) as kids from tree t),
+    best as (
+      select s, m, 0 as q, []::double[] as best, false as takes from (select distinct s, m from tree)
+      union all
+      select k.s, k.m, k.q::int, list_append(b.best, case when not root and mass >= coalesce(list_sum(list_transform(kids, lambda c: b.best[c])), 0) then mass
+        else coalesce(list_sum(list_transform(kids, lambda c: b.best[c])), 0) end), not root and mass >= coalesce(list_sum(list_transform(kids, lambda c: b.best[c])), 0)
+      from best b join kids k on k.s = b.s and k.m = b.m and k.q = b.q + 1),
+    taken as materialized (select t.* from tree t join best b on b.s = t.s and b.m = t.m and b.q = t.q where takes),
+    chosen as materialized (select s, m, l, r from taken t where not exists (select 1 from taken u where u.s = t.s and u.m = t.m and u.l <= t.l and u.r >= t.r and u.size > t.size))"""
+
+
+@query("cluster_density", _hierarchy_sql("[3]", "[5]") + """,
+    found as (select c.l, e.vec_id from chosen c join o on o.k >= c.l and o.k < c.r join e on e.i = o.i),
+    numbers as (select l, row_number() over (order by min(vec_id)) - 1 as cluster from found group by 1)
+    select e.vec_id, coalesce(cluster, -1)::int as cluster from e left join (select vec_id, cluster from found join numbers using (l)) using (vec_id)""")
 def cluster_density(spark, d):
-    return clustering.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 5, 3, levels=8)
-
-
-@query("cluster_search")
+    return clustering.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 5, 3)
+
+
+@query("cluster_search", _hierarchy_sql("range(1, 11)", "range(2, 11)") + """,
+    grid as (select s, m from ss join ms on s <= m),
+    label as materialized (select g.s, g.m, e.i, c.l from grid g join o on o.s = g.s join e on e.i = o.i left join chosen c on c.s = g.s and c.m = g.m and o.k >= c.l and o.k < c.r),
+    told as materialized (select s, m, count(distinct l) as n_clusters, avg((l is null)::int) as noise_ratio, count(*) as total from label group by 1, 2),
+    used as materialized (select label.* from label join told using (s, m) where l is not null and n_clusters >= 2 and noise_ratio <= 0.8),
+    sizes as materialized (select s, m, l, count(*) as n from used group by all),
+    sums as materialized (
+      select a.s, a.m, a.i, a.l as own, b.l as other, sum(list_distance(x.v, y.v)) as d from used a join used b on b.s = a.s and b.m = a.m and b.i <> a.i
+      join e x on x.i = a.i join e y on y.i = b.i group by all),
+    sil as (
+      select s, m, avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end) as sil from (
+        select t.s, t.m, t.i, max(d / (n - 1)) filter (own = other and n > 1) as a, min(d / n) filter (own <> other) as b
+        from sums t join sizes z on z.s = t.s and z.m = t.m and z.l = other group by 1, 2, 3) group by 1, 2),
+    apart as (select a.s, a.m, a.l, min(w) as apart from used a join used b on b.s = a.s and b.m = a.m and b.l <> a.l join reach on reach.s = a.s and reach.i = a.i and reach.j = b.i group by all),
+    sparse as (select c.s, c.m, c.l, max(w) as sparse from chosen c join o on o.s = c.s and o.k > c.l and o.k < c.r group by all),
+    val as (
+      select s, m, sum(n / total * case when greatest(apart, sparse) = 0 then 0 else (apart - sparse) / greatest(apart, sparse) end) as val
+      from sizes join apart using (s, m, l) join sparse using (s, m, l) join told using (s, m) group by 1, 2)
+    select m as min_cluster_size, s as min_samples, n_clusters, round(noise_ratio, 6) as noise_ratio, round(case when n_clusters < 2 or noise_ratio > 0.8 then -1 else 0.5 * greatest(sil, 0) + 0.5 * greatest(coalesce(val, 0), 0) end, 6) as score
+    from told left join sil using (s, m) left join val using (s, m)""")
 def cluster_search(spark, d):
-    return clustering.search_parameters(table(spark, d, "embeddings"), "vec_id", "embedding", [4, 6], [2], levels=5)
+    """The whole grid: sizes 2 to 10, every min_samples up to the size."""
+    out = clustering.search_parameters(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return out.withColumns({c: F.round(c, 6) for c in ("noise_ratio", "score")})
 
 
 _CENTRES = """
@@ -199,7 +275,22 @@ def cluster_silhouette(spark, d):
     return out.withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query("cluster_validity")
+@query("cluster_validity", """
+    with recursive
+    e as materialized (select row_number() over (partition by label order by vec_id)::int as i, label, vec_id, embedding::double[] as v from embeddings where label > 0),
+    d as materialized (select a.label as la, a.i as ia, b.label as lb, b.i as ib, round(list_distance(a.v, b.v), 9) as d from e a join e b on a.vec_id <> b.vec_id),
+    c as materialized (select la as label, ia as i, d as core from d qualify row_number() over (partition by la, ia order by d) = 4),
+    w as materialized (select la, ia, lb, ib, greatest(d, x.core, y.core) as w from d join c x on x.label = la and x.i = ia join c y on y.label = lb and y.i = ib),
+    lists as materialized (select label, i, list(w order by j) as w from (select la as label, ia as i, ib as j, w from w where la = lb union all select label, i, i, 'infinity' from c) group by 1, 2),
+    grown as (
+      select label, 0.0::double as w, list_transform(w, lambda x, j: case when j = 1 then null else x end) as left_ from lists where i = 1
+      union all
+      select g.label, g.low, list_transform(left_, lambda x, j: case when x is null or j = g.next_ then null else least(x, l.w[j]) end)
+      from (select *, list_min(left_) as low, list_position(left_, list_min(left_)) as next_ from grown where list_min(left_) is not null) g join lists l on l.label = g.label and l.i = g.next_),
+    sparse as (select label, max(w) as sparse from grown group by 1),
+    apart as (select la as label, min(w) as apart from w where la <> lb group by 1),
+    n as (select label, count(*) as n from e group by 1)
+    select round(sum(n * (apart - sparse) / greatest(apart, sparse)) / (select count(*) from embeddings), 6) as validity from n join sparse using (label) join apart using (label)""")
 def cluster_validity(spark, d):
     out = clustering.validity(table(spark, d, "embeddings"), "vec_id", "label", "embedding", noise=0)
     return out.withColumn("validity", F.round("validity", 6))

@@ -359,7 +359,7 @@ def test_density_clusters_find_blobs(spark):
     centres = np.array([[0, 0], [10, 0], [0, 10]])
     x = np.concatenate([c + rng.normal(scale=0.4, size=(25, 2)) for c in centres] + [np.array([[5.0, 5.0], [30.0, 30.0]])])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    got = {r["id"]: r["cluster"] for r in clustering.density_clusters(df, "id", "vec", 8, 4, levels=10).collect()}
+    got = {r["id"]: r["cluster"] for r in clustering.density_clusters(df, "id", "vec", 8, 4).collect()}
     for part in range(3):
         labels = [got[i] for i in range(part * 25, part * 25 + 25)]
         common = max(set(labels), key=labels.count)
