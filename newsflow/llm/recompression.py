@@ -54,6 +54,8 @@ def window_symbols(words: Words, prints: np.ndarray, width: int, rounds: int = R
         # Runs.
         head = np.append(True, (name[1:] != name[:-1]) | (own[1:] != own[:-1]))
         heads = np.flatnonzero(head)
+        # A run that reaches out of a window may go on differently elsewhere: for its neighbours only its nearest element counts.
+        final_right, first_left = right[heads[1:]], left[heads[1:] - 1]
         if len(heads) < len(name):
             count = np.diff(heads, append=len(name))
             last = heads + count - 1
@@ -65,8 +67,8 @@ def window_symbols(words: Words, prints: np.ndarray, width: int, rounds: int = R
             count = np.ones(len(name), np.int64)
         # A neighbour is another symbol for sure if its nearest word differs, else if it is settled itself.
         first, final = np.append(True, own[1:] != own[:-1]), np.append(own[1:] != own[:-1], True)
-        before = np.append(-_FAR, np.where(prints[a[1:] - 1] != prints[b[1:] - 1], a[1:] - 1, left[:-1]))
-        after = np.append(np.where(prints[np.minimum(b[:-1], n - 1)] != prints[a[:-1]], b[:-1] + 1, right[1:]), _FAR)
+        before = np.append(-_FAR, np.where(prints[a[1:] - 1] != prints[b[1:] - 1], a[1:] - 1, first_left))
+        after = np.append(np.where(prints[np.minimum(b[:-1], n - 1)] != prints[a[:-1]], b[:-1] + 1, final_right), _FAR)
         left = np.minimum(left, np.where(first, -_FAR, before))
         right = np.maximum(right, np.where(final, _FAR, after))
         runs = count > 1

@@ -169,6 +169,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, key: str = "doc_id", whole_
     asked = written(asked.join(copies.filter("copy").select("doc_id"), "doc_id", "left_anti"), "asked")
     drop(table)
     found = written(window_table(known.join(asked, "doc_id").select("doc_id", "text", "symbols"), width), "windows")
+    drop(asked)
     earlier = found.groupBy("symbol", "print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     hits = found.join(earlier.select("symbol", "print", "low"), ["symbol", "print"]).filter("doc_id > low")
     hits = hits.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))

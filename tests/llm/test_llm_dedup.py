@@ -139,3 +139,56 @@ def test_repeats_odd_rows(llm_spark):
     got = {(r.row.doc_id, r.row.label, r.n_removed, r.kept) for r in remove_repeats(frame(llm_spark, rows), 5, whole_rows=True).collect()}
     assert got == {(1, 1, 0, ""), (3, 1, 0, "a b c d e f"), (4, 1, 6, "x"), (4, 1, 6, ""), (None, 1, 0, "a b c d e f"), (7, 1, 0, "q q q q q q q q"), (8, 1, 6, "z")}
     assert remove_repeats(frame(llm_spark, []), 5).count() == 0
+
+
+def test_equal_windows_have_equal_symbols_in_poor_texts():
+    """Few words make many runs, whose ends outside of a window must not name what is inside."""
+    import pyarrow as pa
+
+    from newsflow.llm.recompression import window_symbols
+    from newsflow.llm.words import word_prints, words_of
+
+    draw = random.Random(8)
+    unequal = pairs = 0
+    for _ in range(4000):
+        pool = "abcdef"[:draw.randint(2, 6)]
+        passage = [draw.choice(pool) for _ in range(13)]
+        docs = [" ".join([draw.choice(pool) for _ in range(draw.randint(0, 8))] + passage + [draw.choice(pool) for _ in range(draw.randint(0, 8))]) for _ in range(6)]
+        w = words_of(pa.array(docs))
+        prints = word_prints(w)
+        symbols = window_symbols(w, prints, 13)
+        seen = {}
+        for i, text in enumerate(docs):
+            own = text.split()
+            for k in range(len(own) - 12):
+                key = tuple(own[k:k + 13])
+                symbol = symbols[w.first[i] + k]
+                unequal += seen.setdefault(key, symbol) != symbol
+                pairs += 1
+    assert pairs > 100_000 and not unequal
+
+
+def removed(rows, width=13):
+    first = {}
+    for i, text in rows:
+        w = words(text)
+        for k in range(len(w) - width + 1):
+            first[tuple(w[k:k + width])] = min(i, first.get(tuple(w[k:k + width]), i))
+    out = set()
+    for i, text in rows:
+        w = words(text)
+        gone = {k + j for k in range(len(w) - width + 1) if first[tuple(w[k:k + width])] < i for j in range(width)}
+        out.add((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def test_poor_texts_equal_brute_force(llm_spark):
+    rows = [(1, "c z d d c a b a b a b a c a c c a"), (2, "b c z b b a c a d d c a b a b a b a c a c z c d b z b b d b b")]
+    draw = random.Random(3)
+    # Each group of documents has words of its own, so one table holds two hundred small ones.
+    for group in range(200):
+        pool = [f"{c}{group}" for c in "abcdef"[:draw.randint(2, 6)]]
+        rows += [(10 + group * 5 + i, " ".join(draw.choice(pool) for _ in range(draw.randint(10, 40)))) for i in range(5)]
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in remove_repeats(frame(llm_spark, rows)).collect()}
+    assert got == removed(rows)
+    assert {r[0]: r[2] for r in got}[2] == 13
