@@ -36,6 +36,8 @@ def schema_error(value, schema: dict, at: str = "$") -> str | None:
     kinds = schema.get("type")
     if kinds is not None:
         kinds = kinds if isinstance(kinds, list) else [kinds]
+        if unknown := [k for k in kinds if k not in _TYPES]:
+            return f"{at}: the schema's type {unknown[0]} is not known"
         fits = [isinstance(value, _TYPES[k]) and (k == "boolean" or not isinstance(value, bool) or k == "null") for k in kinds]
         if not any(fits):
             return f"{at}: not {' or '.join(kinds)}"
@@ -102,21 +104,25 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
     """(conv_id, turn, call_id, name, level, linked, n_results, valid, error, json) of every call, and of every result without a call.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), needs (array of call ids); ``results``: conv_id, turn, call_id,
-    content. Of several results of an id the one of the smallest (turn, content) is linked, n_results counts them; of
-    several calls of an id each is linked to it. A call without id has no result. valid: the arguments are JSON and fit the tool's
-    schema (an unknown tool has none and is not valid); error says why not, and json then holds the arguments as they came. A result
+    content. Ids are those of one conversation: the same id in another one is another call. Of several results of an id the one of the smallest (turn, content) is linked, n_results counts them; of
+    several calls of an id each is linked to it. A call without id has no result. valid: the arguments are JSON (numbers too large for a double and
+    halves of surrogate pairs are not) and fit the tool's schema (an unknown tool has none and is not valid); error says why not, and json then holds the arguments as they came. A result
     without a call has null name and level, valid false. Nulls are JSON nulls; empty tables give no rows; other columns are not read.
     """
-    answer = results.filter("call_id is not null").groupBy("call_id").agg(
-        F.min(F.struct("turn", "content", "conv_id")).alias("answer"), F.count("*").alias("n"))
-    order = levels(calls)
-    joined = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.lit(True).alias("called")).join(answer, "call_id", "full").join(order, "call_id", "left")
+    # The id of a call is that of its conversation and its own. A conversation without id counts as one.
+    own = lambda c: F.struct(F.col("conv_id").cast("long").alias("conv"), c.alias("id"))
+    answer = results.filter("call_id is not null").select(own(F.col("call_id")).alias("link"), "turn", "content").groupBy("link").agg(
+        F.min(F.struct("turn", "content")).alias("answer"), F.count("*").alias("n"))
+    needs = F.transform(F.coalesce("needs", F.array()), own)
+    order = levels(calls.filter("call_id is not null").select(own(F.col("call_id")).alias("call_id"), needs.alias("needs"))).withColumnRenamed("call_id", "link")
+    linked = F.when(F.col("call_id").isNotNull(), own(F.col("call_id")))
+    joined = calls.select("conv_id", "turn", "call_id", "name", "arguments", F.lit(True).alias("called"), linked.alias("link")).join(answer, "link", "full").join(order, "link", "left")
     nameless = results.filter("call_id is null").select(
         "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
         F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), F.lit(1).cast("long").alias("n_results"), "content", F.lit(False).alias("called"))
     called = F.coalesce("called", F.lit(False))
     rows = joined.select(
-        F.coalesce("conv_id", "answer.conv_id").alias("conv_id"), F.coalesce("turn", "answer.turn").alias("turn"), "call_id", "name", "arguments", "level",
+        F.coalesce("conv_id", "link.conv").alias("conv_id"), F.coalesce("turn", "answer.turn").alias("turn"), F.coalesce("call_id", "link.id").alias("call_id"), "name", "arguments", "level",
         (called & F.col("answer").isNotNull()).alias("linked"), F.coalesce("n", F.lit(0)).alias("n_results"), F.col("answer.content").alias("content"), called.alias("called"))
     rows = rows.unionByName(nameless)
 
@@ -124,21 +130,20 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict])
         for batch in batches:
             valid, errors, lines = [], [], []
             for row in batch.select(["call_id", "name", "arguments", "linked", "content", "called"]).to_pylist():
-                value, error = row["arguments"], None
+                line, error = {"id": row["call_id"], "result": row["content"]}, None
                 if not row["called"]:
-                    error = "result without a call"
+                    error, text = "result without a call", canonical(line)
                 else:
                     try:
-                        value = json.loads(value or "", parse_constant=_refuse)
+                        value = json.loads(row["arguments"] or "", parse_constant=_refuse)
+                        text = canonical(line | {"name": row["name"], "arguments": value})
+                        text.encode()  # half of a surrogate pair is no text
                         error = schema_error(value, schemas[row["name"]]) if row["name"] in schemas else "unknown tool"
                     except (ValueError, RecursionError):
-                        error = "arguments are not JSON"
-                line = {"id": row["call_id"], "result": row["content"]}
-                if row["called"]:
-                    line |= {"name": row["name"], "arguments": value}
+                        error, text = "arguments are not JSON", canonical(line | {"name": row["name"], "arguments": row["arguments"]})
                 valid.append(error is None)
                 errors.append(error)
-                lines.append(canonical(line))
+                lines.append(text)
             names = ["conv_id", "turn", "call_id", "name", "level", "linked", "n_results"]
             columns = [batch.column(c) for c in names] + [pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(lines, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "valid", "error", "json"])

@@ -130,7 +130,7 @@ def test_linking_odd_rows(llm_spark):
     first = got[1, 2, "x"]
     assert first["valid"] and first["level"] == 1 and first["linked"] and first["n_results"] == 2
     assert first["json"] == '{"arguments":{"a":[true,null],"b":1},"id":"x","name":"t","result":"é\\n"}'
-    assert got[1, 3, "y"]["error"] == "arguments are not JSON" and got[2, 1, "x"]["error"] == "unknown tool" and got[2, 1, "x"]["linked"]
+    assert got[1, 3, "y"]["error"] == "arguments are not JSON" and got[2, 1, "x"]["error"] == "unknown tool" and not got[2, 1, "x"]["linked"]
     assert got[1, 4, None]["error"] == "$.a: missing" and not got[1, 4, None]["linked"]
     assert got[1, 6, "q"]["error"] == got[3, 1, None]["error"] == "result without a call"
     assert all(json.loads(r["json"]) is not None for r in rows)
@@ -143,3 +143,23 @@ def test_linking_odd_rows(llm_spark):
     ("x", {"enum": ["y"]}, "$: not one of the values"), (True, {"type": "boolean"}, None)])
 def test_schema_errors(value, schema, error):
     assert schema_error(value, schema) == error
+
+
+def test_arguments_that_are_hardly_json(llm_spark):
+    texts = ['{"text":"\\ud800"}', '{"text":1e999}', "[" * 100_000, "1" * 5000, '{"a":NaN}', '{"a":1}', '{"a":"\\ud83d\\ude00"}']
+    calls = llm_spark.createDataFrame([(1, i, f"c{i}", "t", x, None) for i, x in enumerate(texts)], "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = llm_spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = {r["turn"]: (r["valid"], r["error"], json.loads(r["json"])["arguments"]) for r in linked_calls(calls, results, {"t": {}}).collect()}
+    bad = "arguments are not JSON"
+    assert [got[i][:2] for i in range(7)] == [(False, bad)] * 5 + [(True, None)] * 2
+    assert [got[i][2] for i in range(7)] == texts[:5] + [{"a": 1}, {"a": "\U0001f600"}]
+    assert schema_error(1, {"type": "decimal"}) == "$: the schema's type decimal is not known"
+
+
+def test_ids_belong_to_their_conversation(llm_spark):
+    calls = llm_spark.createDataFrame(
+        [(1, 0, "x", "t", "1", []), (2, 0, "x", "t", "2", ["y"]), (2, 1, "y", "t", "3", []), (None, 0, "x", "t", "4", ["y"])],
+        "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>")
+    results = llm_spark.createDataFrame([(1, 5, "x", "one"), (2, 1, "x", "two"), (3, 1, "x", "three"), (None, 2, "x", "none")], "conv_id long, turn long, call_id string, content string")
+    got = sorted((str(r["conv_id"]), r["call_id"], r["level"], r["linked"], r["n_results"], json.loads(r["json"])["result"]) for r in linked_calls(calls, results, {"t": {}}).collect())
+    assert got == [("1", "x", 0, True, 1, "one"), ("2", "x", 1, True, 1, "two"), ("2", "y", 0, False, 0, None), ("3", "x", None, False, 1, "three"), ("None", "x", 0, True, 1, "none")]
