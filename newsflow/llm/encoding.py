@@ -2,8 +2,8 @@
 
 A text is cut where no token can cross: before the words of a tokenizer that drops white space, or
 before a single space or line feed between other characters for one that keeps it (the space belongs to
-the word behind it), and there before a mark behind a letter too. The pieces go through the tokenizers library; texts repeat most of them, so each
-is encoded once per batch and frequent ones once per worker. A table of pieces of bounded size is kept.
+the word behind it), and before a mark behind a letter. The pieces go through the tokenizers library; texts repeat most of them, so each
+is encoded once per batch and frequent ones once per task. A table of pieces of bounded size is kept while a task runs.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 
 from newsflow.llm.words import _BLANK, raw_bytes, slices
 
-#: Pieces that a worker remembers (about 200 bytes each), and bytes of text that it works on at once.
-REMEMBERED, SLICE = 1_000_000, 8 << 20
+#: Bytes that a worker's table of pieces may take (counted at 230 for each, its text and its ids), and bytes of text that it works on at once.
+REMEMBERED, SLICE = 96 << 20, 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
@@ -46,9 +46,9 @@ def mark_cuts(data: np.ndarray) -> np.ndarray:
 
 
 def word_cuts(data: np.ndarray) -> np.ndarray:
-    """First bytes of words: for tokenizers that drop white space."""
+    """First bytes of words, then marks behind letters: for tokenizers that drop white space."""
     blank = _BLANK[data]
-    return np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    return np.concatenate([np.flatnonzero(~blank[1:] & blank[:-1]) + 1, mark_cuts(data)])
 
 
 def plain_space_cuts(data: np.ndarray, among: tuple[int, ...] = (32,)) -> np.ndarray:
@@ -98,6 +98,7 @@ class PieceEncoder:
         self.place: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.bytes = 0
 
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 20_000):
@@ -115,6 +116,7 @@ class PieceEncoder:
             self.size[at:at + len(part)] = sizes
             self.used += len(new)
             self.place.update(zip(part, range(at, at + len(part))))
+            self.bytes += 230 * len(part) + sum(map(len, part)) + 4 * len(new)
 
     def pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct pieces, which of them follow each other, and how many each row has."""
@@ -133,7 +135,7 @@ class PieceEncoder:
 
     def known(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in the table, which learns those it lacks."""
-        if len(self.place) > REMEMBERED:
+        if self.bytes > REMEMBERED:
             self._forget()
         missing = [x for x in pieces if x not in self.place]
         if missing:
@@ -151,13 +153,17 @@ class PieceEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encoder: PieceEncoder, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, Ids]]:
-    for batch in batches:
-        text = batch.column("text")
-        for start, stop in slices(text, limit):
-            yield batch.slice(start, stop - start), encoder(text.slice(start, stop - start))
+    """Slices of the batches with their ids. The encoder's table goes when the task ends, as the worker serves other stages next."""
+    try:
+        for batch in batches:
+            text = batch.column("text")
+            for start, stop in slices(text, limit):
+                yield batch.slice(start, stop - start), encoder(text.slice(start, stop - start))
+    finally:
+        encoder._forget()
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def library_encoder(path: str, keeps_space: bool) -> PieceEncoder:
-    """The encoder of a tokenizer file, kept between the tasks of a worker."""
+    """The encoder of a tokenizer file, the last one kept between the tasks of a worker."""
     return PieceEncoder(path, space_cuts if keeps_space else word_cuts)
