@@ -14,11 +14,11 @@ from newsflow.operators.stats import add_zscore
 from newsflow.session import cut_lineage
 
 BATCH = 6  # items ranked together
-WINDOW = 1000  # items of neighbouring rank that can be paired with each other
+WINDOW = 100_000  # items of neighbouring rank that one task pairs
 
 
 def rank_windows(df: DataFrame, key: str, strength: str, window: int = WINDOW) -> DataFrame:
-    """``pool`` and ``rank``: consecutive windows of the ranking. Pairs are made inside one."""
+    """``pool`` and ``rank``: consecutive windows of the ranking. A window is what one task pairs; pairs do not depend on it."""
     ranked = number_rows(df, [F.desc(strength), key], "rank")
     return ranked.withColumn("pool", F.floor((F.col("rank") - 1) / window))
 
@@ -31,52 +31,92 @@ def opponents(battles: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.collect_set("o").alias("fought"))
 
 
+_ROWS = "pool long, variant int, n int, a long, b long, fought array<long>"
+_ANYONE = None  # the item that a window may get from before, when it is not known yet
+
+
+def _greedy(items: list[tuple], carried: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Pairs, and what is left, of ``(id, met)`` in order of rank: each item with the next free one it has not met."""
+    free = dict(enumerate([*carried, *items]))
+    pairs, left = [], []
+    while free:
+        i = next(iter(free))
+        one, met = free.pop(i)
+        j = next((j for j, (other, _) in free.items() if other not in met), None)
+        if j is None:
+            left.append((one, met))
+        else:
+            pairs.append((one, free.pop(j)[0]))
+    return pairs, left
+
+
+def _pair_window(key: str, carries: list[list[tuple]]):
+    """A window's pairs for each list of items carried into it; rows without ``b`` are left over."""
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        items = [(i, set() if met is None else set(met)) for i, met in zip(rows[key].tolist(), rows["fought"])]
+        out = []
+        for variant, carried in enumerate(carries):
+            pairs, left = _greedy(items, carried)
+            told = [(one, other, None) for one, other in pairs] + [(one, None, sorted(met)) for one, met in left]
+            out += [(rows["pool"].iloc[0], variant, n, one, other, met) for n, (one, other, met) in enumerate(told)]
+        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _ROWS.split(", ")])
+        return frame.astype({"a": "Int64", "b": "Int64"})
+
+    return pair
+
+
 def swiss_pairs(ranked: DataFrame, key: str = "id") -> DataFrame:
-    """Pairs ``(pool, pair, a, b)``: each unused item with the next unused one not met yet.
+    """Pairs ``(pool, pair, a, b)`` over the whole ranking: each unused item with the next unused one not met yet.
 
-    ``ranked`` has ``pool``, ``rank`` and ``fought``. Pools are bounded by
-    :func:`rank_windows`, so a group fits a task.
+    ``ranked`` has ``pool``, ``rank`` and ``fought``; pools are consecutive windows of the ranking, of any size: what a
+    window leaves over goes on to the next. All items left over have met each other, so they are at most as many as an item has
+    opponents, and one. Windows are paired all at once for the two usual cases, nothing carried in or one item that pairs with the first of the
+    window; the driver follows what is carried from window to window and pairs the windows anew where neither case holds.
     """
-
-    def pair(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("rank")
-        ids = items[key].tolist()
-        met = [set(x) if x is not None else set() for x in items["fought"]]
-        free = dict.fromkeys(range(len(ids)))
-        rows = []
-        while free:
-            i = next(iter(free))
-            del free[i]
-            j = next((j for j in free if ids[j] not in met[i]), None)
-            if j is not None:
-                del free[j]
-                rows.append((ids[i], ids[j]))
-        pool = items["pool"].iloc[0]
-        return pd.DataFrame([(pool, n, a, b) for n, (a, b) in enumerate(rows)], columns=["pool", "pair", "a", "b"])
-
-    return ranked.select(key, "pool", "rank", "fought").groupBy("pool").applyInPandas(
-        pair, "pool long, pair int, a long, b long"
-    )
+    rows = ranked.select(key, "pool", "rank", "fought")
+    both = cut_lineage(rows.groupBy("pool").applyInPandas(_pair_window(key, [[], [(_ANYONE, set())]]), _ROWS))
+    # A few rows per window.
+    ends = both.filter("b is null or a is null").orderBy("pool", "variant", "n").collect()
+    leading = {r["pool"]: r["first"] for r in rows.groupBy("pool").agg(F.min_by(key, "rank").alias("first")).collect()}
+    by_pool: dict[int, list] = {}
+    for r in ends:
+        by_pool.setdefault(r["pool"], []).append(r)
+    chosen, anew, carried = [], [], []
+    for pool in sorted(leading):
+        own = by_pool.get(pool, [])
+        fits = not carried or (len(carried) == 1 and leading[pool] not in carried[0][1])
+        if fits:
+            variant = len(carried)
+            chosen.append((pool, variant, carried[0][0] if carried else None))
+            carried = [(r["a"], set(r["fought"])) for r in own if r["variant"] == variant and r["b"] is None]
+        else:
+            part = cut_lineage(rows.filter(F.col("pool") == pool).groupBy("pool").applyInPandas(_pair_window(key, [carried]), _ROWS))
+            anew.append(part.filter("b is not null").select("pool", "n", "a", "b"))
+            carried = [(r["a"], set(r["fought"])) for r in part.filter("b is null").orderBy("n").collect()]
+    plan = ranked.sparkSession.createDataFrame(chosen, "pool long, variant int, carry long")
+    out = both.filter("b is not null").join(F.broadcast(plan), ["pool", "variant"]).select("pool", "n", F.coalesce("a", "carry").alias("a"), "b")
+    for part in anew:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("n", "pair")
 
 
 def batches(ranked: DataFrame, pairs: DataFrame, seed: int = 0, size: int = BATCH, key: str = "id") -> DataFrame:
-    """``(pool, batch, pos, id)``: pairs in order, then the unpaired in hash order, cut in chunks.
+    """``(pool, batch, pos, id)``: pairs in order, then the unpaired in hash order, cut in chunks over the whole ranking (pool 0).
 
-    A pool without any pair and a last chunk of one item give no battle.
+    Without any pair there are no batches; a last chunk of one item gives no battle.
     """
-    seats = pairs.select("pool", F.posexplode(F.array("a", "b")).alias("side", key), "pair").select(
-        key, "pool", (F.col("pair") * 2 + F.col("side")).cast("long").alias("seat")
-    )
-    paired_pools = pairs.select("pool").distinct()
-    everyone = ranked.select(key, "pool").join(paired_pools, "pool", "left_semi").join(seats.select(key, "seat"), key, "left")
-    order = Window.partitionBy("pool").orderBy(
-        F.col("seat").asc_nulls_last(), F.xxhash64(key, F.lit(seed)), F.col(key)
-    )
-    # Pools are bounded by the rank window.
-    seated = everyone.withColumn("_n", F.row_number().over(order) - 1)
-    cut = seated.withColumn("batch", F.floor(F.col("_n") / size)).withColumn("pos", F.col("_n") % size)
-    count = F.count(F.lit(1)).over(Window.partitionBy("pool", "batch"))
-    return cut.withColumn("_k", count).filter("_k >= 2").select("pool", "batch", "pos", key)
+    if pairs.isEmpty():
+        return ranked.select(F.lit(0).cast("long").alias("pool"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("pos"), key).limit(0)
+    seats = pairs.select(F.posexplode(F.array("a", "b")).alias("side", key), F.col("pool").alias("_p"), "pair")
+    everyone = ranked.select(key).join(seats, key, "left").select(
+        key, F.col("_p").isNull().alias("_alone"), F.coalesce("_p", F.lit(0)).alias("_p"), F.coalesce("pair", F.lit(0)).alias("_pair"), F.coalesce("side", F.lit(0)).alias("_side"),
+        F.when(F.col("_p").isNull(), F.xxhash64(key, F.lit(seed))).otherwise(0).alias("_h"))
+    seated = number_rows(everyone, ["_alone", "_p", "_pair", "_side", "_h", key], "_n").withColumn("_n", F.col("_n") - 1)
+    cut = seated.select(F.lit(0).cast("long").alias("pool"), F.expr(f"_n div {size}").alias("batch"), (F.col("_n") % size).alias("pos"), key)
+    # Chunks are numbered, so only the last can be short.
+    total = ranked.count()
+    return cut.filter(F.col("batch") < total // size) if total % size == 1 else cut
 
 
 def judge_by_score(seated: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:

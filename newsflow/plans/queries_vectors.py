@@ -381,12 +381,14 @@ def bradley_terry(spark, d):
     return fitted.withColumn("bt", F.round("bt", 5))
 
 
-@query("swiss_pairs")
+@query("swiss_pairs", """
+    with r as (select c_custkey as id, row_number() over (order by c_acctbal desc, c_custkey) as n from customer)
+    select a.id as a, b.id as b from r a join r b on b.n = a.n + 1 where a.n % 2 = 1""")
 def swiss_pairs(spark, d):
-    """First-round pairs of all customers by balance."""
+    """First-round pairs of all customers by balance, paired in windows of 77 that hand their last item on."""
     customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
-    ranked = ranking.rank_windows(customers, "id", "c_acctbal").withColumn("fought", F.array().cast("array<long>"))
-    return ranking.swiss_pairs(ranked)
+    ranked = ranking.rank_windows(customers, "id", "c_acctbal", 77).withColumn("fought", F.array().cast("array<long>"))
+    return ranking.swiss_pairs(ranked).select("a", "b")
 
 
 @query("tournament")

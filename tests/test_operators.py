@@ -171,6 +171,32 @@ def test_swiss_pairs_and_batches(spark):
     assert [r["id"] for r in two] == [1, 3, 2, 4]
 
 
+@pytest.mark.parametrize("n,seed", [(61, 1), (1001, 2)])
+def test_pairs_do_not_depend_on_windows(spark, n, seed):
+    draw = np.random.default_rng(seed)
+    met = [set() for _ in range(n)]
+    for i in range(n):
+        # Mostly close ranks have met, some items nearly everyone around.
+        for j in {int(x) for x in i + draw.integers(1, 9, size=10 if i % 17 == 3 else 2)} - {i}:
+            if j < n:
+                met[i].add(j)
+                met[j].add(i)
+    free, want = list(range(n)), []
+    while free:
+        i = free.pop(0)
+        j = next((j for j in free if j not in met[i]), None)
+        if j is not None:
+            free.remove(j)
+            want.append((i, j))
+    for window in (10, n + 1):
+        rows = [(i, i // window, i + 1, sorted(met[i])) for i in range(n)]
+        ranked = spark.createDataFrame(rows, "id long, pool long, rank long, fought array<long>")
+        pairs = ranking.swiss_pairs(ranked)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == sorted(want)
+    seated = ranking.batches(ranked, pairs).collect()
+    assert sorted(r["id"] for r in seated) == list(range(n)) if n % 6 != 1 else len(seated) == n - 1
+
+
 def test_battle_results(spark):
     placed = spark.createDataFrame([(0, 7, 1), (0, 3, 2), (0, 9, 3)], "batch long, id long, place long")
     got = ranking.battle_results(placed, ["batch"])
