@@ -51,6 +51,8 @@ def nearest_neighbours(merged: DataFrame, k: int) -> DataFrame:
     bound of each search radius; then rows visit the cells within it. Exact.
     """
     pivots = vectors.choose_pivots(merged, merged.count())
+    if not len(pivots):
+        return merged.sparkSession.createDataFrame([], "vid long, other long, dist double")
     columns = "vid long, vec array<double>"
 
     def nearest(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
