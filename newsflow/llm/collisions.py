@@ -1,14 +1,18 @@
 """Nearest neighbours by inner product with collision-counting hashing.
 
-Vectors are dealt into blocks. A block's index holds, for each of a fixed set of projections, its vectors sorted by
-their projection. A query opens a window around its own projection in each sorted array; a vector inside collides. Windows
-widen step by step (virtual rehashing: the arrays stay, only the windows grow) until enough vectors collide in the
-share of projections that a near vector is expected to reach; these are verified by their exact product.
-
-Largest inner product becomes smallest distance by one more component, sqrt(M**2 - |x|**2), M the largest
-norm; a query has 0 there and length M. Projections are the rows of random orthogonal matrices, whose collision counts vary
-less than independent ones. Every block is searched for every query, so a query misses a neighbour only if that
-falls short of the collision threshold of its block; the result of all blocks is merged by an aggregation.
+Vectors are dealt into blocks of similar length. A block's index holds, for each of a fixed set of projections, its vectors
+sorted by their projection. A query takes the projections in which it lies farthest from the block's middle, as those tell near
+vectors from others best, and opens a window around its own place in each of their sorted arrays; a vector inside collides.
+Windows widen step by step (virtual rehashing: the arrays stay, only the windows grow) until enough vectors collide in the
+share of projections that a near vector is expected to reach; these are verified by their exact product. Widths at which all
+windows together hold too few entries for that are passed over without counting.
+
+Largest inner product becomes smallest distance by one more component, sqrt(M**2 - |x|**2), M the block's largest
+norm; a query has 0 there and length M. As blocks are ranges of norms, a few long vectors do not flatten the others. Projections
+are the rows of random orthogonal matrices, whose collision counts vary less than independent ones.
+Every block is searched for every query, so a query misses a neighbour only if that
+falls short of the collision threshold of its block; the result of all blocks is merged by an aggregation. The work is
+proportional to queries times vectors, with a small factor: per query and vector about ten window entries and a tenth of a product.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ from pyspark.sql import functions as F
 
 from newsflow.llm.store import written
 
-#: Vectors per block, random orthogonal bases, and the share of projections that makes a candidate.
-BLOCK, BASES, SHARE = 4096, 3, 0.6
+#: Vectors per block at most about, values per block, random orthogonal bases.
+BLOCK, VALUES, BASES = 16_384, 2**21, 3
+#: Projections that a query takes, and the share of them that makes a candidate.
+TAKEN, SHARE = 24, 0.6
 #: Windows widen until so many vectors of a block are candidates: a floor, and a share of the block.
-FLOOR, CANDIDATES = 256, 0.15
-#: Half widths of the windows, in units of a projection's spread at the query's distance from an average vector.
-STEPS = np.arange(0.5, 3.01, 0.125)
+FLOOR, CANDIDATES = 128, 0.04
+#: Half widths of the windows, in units of a projection's standard deviation in the block.
+STEPS = np.arange(0.5, 9.0, 0.25)
+#: Queries whose windows are looked up together.
+TOGETHER = 512
 
-_PART = "target int, kind int, ids binary, uids binary, vectors binary, orders binary, places binary"
-_NAMES = [c.split()[0] for c in _PART.split(", ")]
+_NAMES = ["target", "ids", "vectors"]
 
 
 def bases(dim: int, count: int) -> np.ndarray:
@@ -39,86 +46,101 @@ def bases(dim: int, count: int) -> np.ndarray:
     return np.hstack([np.linalg.qr(draw.standard_normal((dim, dim)))[0] for _ in range(count)])
 
 
-def _whole_partitions(frame: DataFrame, dim: int) -> DataFrame:
-    """A partition's rows packed into one batch of at most BLOCK, so that a block is one partition."""
+def deal_blocks(vectors: DataFrame, dim: int, count: int) -> tuple[DataFrame, int]:
+    """The written blocks (target, ids, vectors) of (id, vector, norm) rows, one row each, and their number.
+
+    Ranges of norms; equal norms and repeated rows are dealt by a number of the row. Written, as a row's place in its block names it.
+    """
+    size = min(BLOCK, max(512, VALUES // (dim + 1)))
+    row = F.xxhash64("id", F.monotonically_increasing_id())
+    dealt = vectors.withColumn("row", row).repartitionByRange(max(1, -(-count // size)), "norm", "row")
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            vectors = table.column("vector").flatten().cast(pa.float64()).to_numpy()
+            vectors = np.concatenate([b.column("vector").flatten().cast(pa.float64()).to_numpy() for b in held])
+            ids = np.concatenate([b.column("id").to_numpy() for b in held])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("id").to_numpy().tobytes()]), pa.array([vectors.tobytes()])], ["part", "ids", "vectors"])
-
-    return frame.mapInArrow(gather, "part int, ids binary, vectors binary")
-
-
-def build_index(vectors: DataFrame, dim: int, longest: float, count: int) -> tuple[DataFrame, int]:
-    """The written index of (id, vector) rows and its number of blocks."""
-    blocks = max(1, -(-count // BLOCK))
-    dealt = vectors.repartition(blocks).select(F.spark_partition_id().alias("part"), "id", "vector")
-    axes = bases(dim + 1, BASES)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                v = np.frombuffer(batch.column("vectors")[i].as_py(), float).reshape(-1, dim)
-                room = np.sqrt(np.maximum(longest**2 - np.square(v).sum(axis=1), 0))
-                places = np.column_stack([v, room]) @ axes
-                order = np.argsort(places, axis=0, kind="stable").T
-                values = [[batch.column("part")[i].as_py()], [0], [ids.tobytes()], [b""], [v.tobytes()],
-                          [order.astype(np.int32).tobytes()], [np.take_along_axis(places.T, order, 1).astype(np.float32).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(values, (pa.int32(), pa.int32(), *[pa.binary()] * 5))], _NAMES)
-
-    return written(_whole_partitions(dealt, dim).mapInArrow(build, _PART), "index"), blocks
-
-
-class _Searcher:
-    """One block's index and its search."""
-
-    def __init__(self, row: dict, dim: int, longest: float, axes: np.ndarray) -> None:
-        self.target = row["target"]
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], float).reshape(-1, dim)
+                [pa.array([held[0].column("part")[0].as_py()], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], _NAMES)
+
+    packed = dealt.select(F.spark_partition_id().alias("part"), "id", "vector").mapInArrow(gather, "target int, ids binary, vectors binary")
+    blocks = written(packed, "blocks")
+    return blocks, blocks.agg(F.max("target")).first()[0] + 1
+
+
+class Block:
+    """One block's sorted projections and their search."""
+
+    def __init__(self, target: int, ids: np.ndarray, vectors: np.ndarray, axes: np.ndarray) -> None:
+        self.target, self.ids, self.vectors, self.axes = target, ids, vectors, axes
+        norms = np.square(vectors).sum(axis=1)
+        self.longest = float(np.sqrt(norms.max()))
+        # Where squares overflow nothing can be told apart: all are verified.
+        self.enough = min(len(ids), FLOOR + int(CANDIDATES * len(ids))) if np.isfinite(self.longest) else len(ids)
+        if self.enough == len(ids):
+            return
+        places = np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]) @ axes
+        self.middle, self.spread = places.mean(axis=0), places.std(axis=0) + 1e-30
+        order = np.argsort(places, axis=0, kind="stable")
+        self.places = np.ascontiguousarray(np.take_along_axis(places, order, 0).T)
+        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+
+    def _windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's projections, and where its windows begin and end in them: (query, projection, step)."""
+        length = np.linalg.norm(queries, axis=1)[:, None]
+        centre = np.column_stack([queries * (self.longest / length), np.zeros(len(queries))]) @ self.axes
+        taken = min(TAKEN, len(self.order))
+        chosen = np.sort(np.argsort(-np.abs(centre - self.middle) / self.spread, axis=1, kind="stable")[:, :taken], axis=1)
+        low = np.zeros((len(queries), taken, len(STEPS)), np.int64)
+        high = np.zeros_like(low)
+        for j in np.unique(chosen):
+            q, slot = np.nonzero(chosen == j)
+            half = STEPS * self.spread[j]
+            low[q, slot] = self.places[j].searchsorted(centre[q, j, None] - half)
+            high[q, slot] = self.places[j].searchsorted(centre[q, j, None] + half, "right")
+        return chosen, low, high
+
+    def candidates(self, queries: np.ndarray) -> Iterator[np.ndarray]:
+        """For each query the vectors that collide in at least SHARE of its projections, at the first width that has enough of them."""
         n = len(self.ids)
-        self.order = np.frombuffer(row["orders"], np.int32).reshape(-1, n)
-        self.places = np.frombuffer(row["places"], np.float32).reshape(-1, n)
-        self.axes, self.longest, self.dim = axes, longest, dim
-
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Vectors that collide in at least SHARE of the projections, at the first width that has enough of them."""
-        n, m = len(self.ids), len(self.order)
-        enough = min(n, FLOOR + int(CANDIDATES * n))
-        unit = np.append(query * (self.longest / np.linalg.norm(query)), 0.0)
-        centre = (unit @ self.axes).astype(np.float32)
-        # Distance of the query from an average vector, spread over the projections.
-        spread = np.float32(np.sqrt(2 * self.longest**2 / (self.dim + 1)) or 1.0)
-        counts = np.zeros(n, np.int64)
-        low = [int(np.searchsorted(p, c)) for p, c in zip(self.places, centre)]
-        high, least = list(low), int(np.ceil(SHARE * m))
-        for step in (*STEPS, np.inf):
-            half = np.float32(step) * spread
-            rings = []
-            for j in range(m):
-                own = self.places[j]
-                a, b = int(own.searchsorted(centre[j] - half)), int(own.searchsorted(centre[j] + half, "right"))
-                a, b = min(a, low[j]), max(b, high[j])
-                rings += [self.order[j, a:low[j]], self.order[j, high[j]:b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= enough:
-                return found
-        return np.arange(n)
-
-    def nearest(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and products of the k best candidates; ``own`` is the query's place in this block, or -1."""
-        found = self.candidates(query)
-        found = found[found != own]
-        # A sum per row in a fixed order: equal vectors get equal products.
-        score = (self.vectors[found] * query).sum(axis=1)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found[best]], score[best]
+        if self.enough == n:
+            yield from (np.arange(n) for _ in queries)
+            return
+        for first in range(0, len(queries), TOGETHER):
+            chosen, low, high = self._windows(queries[first:first + TOGETHER])
+            least = int(np.ceil(SHARE * chosen.shape[1]))
+            entries = (high - low).sum(axis=1)
+            for js, begin, end, held in zip(chosen, low, high, entries):
+                own = [self.order[j] for j in js]
+                step = int(held.searchsorted(least * self.enough))
+                counts, found = np.zeros(n, np.int64), np.arange(n)
+                inner = outer = None
+                while step < len(STEPS):
+                    a, b = begin[:, step].tolist(), end[:, step].tolist()
+                    if inner is None:
+                        rings = [o[x:y] for o, x, y in zip(own, a, b)]
+                    else:
+                        rings = [o[x:y] for o, x, y in zip(own, a, inner)] + [o[x:y] for o, x, y in zip(own, outer, b)]
+                    inner, outer = a, b
+                    counts += np.bincount(np.concatenate(rings), minlength=n)
+                    met = np.flatnonzero(counts >= least)
+                    if len(met) >= self.enough:
+                        found = met
+                        break
+                    step += 1
+                yield found
+
+    def nearest(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per query the ids and products of the k best candidates; ``own`` are the queries' places in this block, or -1."""
+        for query, place, found in zip(queries, own, self.candidates(queries)):
+            found = found[found != place]
+            # A sum per row in a fixed order: equal vectors get equal products.
+            score = (self.vectors[found] * query).sum(axis=1)
+            if len(found) > k:
+                near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[near], score[near]
+            best = np.lexsort((self.ids[found], -score))[:k]
+            yield self.ids[found[best]], score[best]
 
 
 def nearest_by_collisions(vectors: DataFrame, id_column: str, vector_column: str, every: int, k: int) -> DataFrame:
@@ -134,12 +156,12 @@ def nearest_by_collisions(vectors: DataFrame, id_column: str, vector_column: str
     rows = vectors.filter(F.col(id_column).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), v.cast("array<double>").alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, c: s + c * c))
-    told = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
-    schema = "query_id long, uid string, vec_id long, score double"
+    told = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    schema = "query_id long, row long, vec_id long, score double"
     if told is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, longest = told["dim"], float(told["longest"])
-    index, blocks = build_index(rows.filter(F.size("vector") == dim), dim, longest, told["n"])
+    dim = told["dim"]
+    dealt, blocks = deal_blocks(rows.filter(F.size("vector") == dim).withColumn("norm", norm), dim, told["n"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,31 +171,32 @@ def nearest_by_collisions(vectors: DataFrame, id_column: str, vector_column: str
                 if len(at):
                     x = np.frombuffer(batch.column("vectors")[i].as_py(), float).reshape(-1, dim)
                     values = [[batch.column("target")[i].as_py()], [ids[at].tobytes()], [at.tobytes()], [x[at].tobytes()]]
-                    yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(values, (pa.int32(), *[pa.binary()] * 3))], ["home", "ids", "uids", "vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(values, (pa.int32(), *[pa.binary()] * 3))], ["home", "ids", "places", "vectors"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes, block = bases(dim + 1, BASES), None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == -1:
-                    block = _Searcher(row, dim, longest, axes)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], float).reshape(-1, dim)
+                home = row["home"]
+                if home == -1:
+                    block = Block(row["target"], ids, vectors, axes)
                     continue
-                home = row["kind"]
-                ids, at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["uids"], np.int64)
-                asked = np.frombuffer(row["vectors"], float).reshape(-1, dim)
-                out: list[tuple] = []
-                for q, place, vector in zip(ids.tolist(), at.tolist(), asked):
-                    found, score = block.nearest(vector, place if home == block.target else -1, k)
-                    out.append((np.full(len(found), q), [f"{home}-{place}"] * len(found), found, score))
+                if block is None or block.target != row["target"]:
+                    continue  # a range of norms without vectors
+                places = np.frombuffer(row["places"], np.int64)
+                own = places if home == block.target else np.full(len(ids), -1)
+                out = list(block.nearest(vectors, own, k))
+                sizes = [len(found) for found, _ in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out])), pa.array([u for o in out for u in o[1]], pa.string()),
-                     pa.array(np.concatenate([o[2] for o in out])), pa.array(np.concatenate([o[3] for o in out]))], ["query_id", "uid", "vec_id", "score"])
-
-    # Every block's index first, then all query blocks, one after the other: a task holds one index and one query block.
-    asked = index.select("target", "ids", "vectors").mapInArrow(ask, "home int, ids binary, uids binary, vectors binary")
-    empty = F.lit(None).cast("binary")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("target"), F.col("home").alias("kind"), "ids", "uids", "vectors", empty.alias("orders"), empty.alias("places"))
-    met = index.withColumn("kind", F.lit(-1)).unionByName(sent).repartition(blocks, "target").sortWithinPartitions("target", "kind")
+                    [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(places + (home << 32), sizes)),
+                     pa.array(np.concatenate([found for found, _ in out])), pa.array(np.concatenate([score for _, score in out]))], ["query_id", "row", "vec_id", "score"])
+
+    # Every block first, then all query blocks, one after the other: a task holds one block and one block of queries.
+    asked = dealt.mapInArrow(ask, "home int, ids binary, places binary, vectors binary")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("target"), "ids", "vectors", "home", "places")
+    met = dealt.withColumns({"home": F.lit(-1), "places": F.lit(None).cast("binary")}).unionByName(sent).repartition(blocks, "target").sortWithinPartitions("target", "home")
     found = met.mapInArrow(search, schema)
-    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

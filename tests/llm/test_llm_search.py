@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from newsflow.llm import chat_queries, vector_queries
-from newsflow.llm.collisions import nearest_by_collisions
+from newsflow.llm.collisions import BASES, Block, bases, nearest_by_collisions
 from newsflow.llm.queries import load_queries
 from newsflow.llm.tool_calls import levels, linked_calls, schema_error
 from newsflow.llm.tree_text import main_text, page_texts
@@ -31,6 +31,39 @@ def test_neighbours_recall(llm_spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("name", ["plain", "copies", "clustered", "shifted", "heavy", "flat"])
+def test_recall_in_one_block(name):
+    """Recall of at least 0.9 on differently shaped vectors; where lengths are equal or nearly so, less than a sixth of a block is verified."""
+    draw = np.random.default_rng(5)
+    n = 12_000
+    x = draw.standard_normal((n, {"flat": 2, "heavy": 8}.get(name, 48)))
+    if name == "plain":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    elif name == "copies":
+        x[::3] = x[0]
+    elif name == "clustered":
+        x = x / 2 + 2 * draw.standard_normal((40, 48))[draw.integers(0, 40, n)]
+    elif name == "shifted":
+        x += 1
+    elif name == "heavy":
+        x *= draw.pareto(1.5, n)[:, None] + 1
+    block, at = Block(0, np.arange(n), x, bases(x.shape[1] + 1, BASES)), np.arange(0, n, 149)
+    hit = 0
+    for i, (ids, score) in zip(at, block.nearest(x[at], at, 20)):
+        exact = (x * x[i]).sum(axis=1)
+        assert len(ids) == 20 and i not in ids and (score == exact[ids]).all()
+        hit += (score >= np.sort(np.delete(exact, i))[-20]).sum()
+    assert hit / len(at) / 20 >= 0.9
+    if name in ("plain", "clustered"):
+        assert np.mean([len(found) for found in block.candidates(x[at])]) < n / 6
+
+
+def test_vectors_beyond_all_squares():
+    x = np.array([[1e200, 0.0], [0.0, 1e-200], [1.0, 1.0]])
+    found = [ids.tolist() for ids, _ in Block(0, np.arange(3), x, bases(3, BASES)).nearest(x, np.arange(3), 1)]
+    assert found == [[2], [2], [0]]
+
+
 def test_neighbours_odd_rows(llm_spark):
     nan, inf = float("nan"), math.inf
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0, None]), (7, [inf, 1.0]), (8, [1.0]),
