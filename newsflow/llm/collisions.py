@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product with collision-counting hashing.
 
-Vectors are dealt into blocks of similar length. A block's index holds, for each of a fixed set of projections, its vectors
+Vectors are dealt into blocks. A block's index holds, for each of a fixed set of projections, its vectors
 sorted by their projection. A query takes the projections in which it lies farthest from the block's middle, as those tell near
 vectors from others best, and opens a window around its own place in each of their sorted arrays; a vector inside collides.
 Windows widen step by step (virtual rehashing: the arrays stay, only the windows grow) until enough vectors collide in the
@@ -8,7 +8,7 @@ share of projections that a near vector is expected to reach; these are verified
 windows together hold too few entries for that are passed over without counting.
 
 Largest inner product becomes smallest distance by one more component, sqrt(M**2 - |x|**2), M the block's largest
-norm; a query has 0 there and length M. As blocks are ranges of norms, a few long vectors do not flatten the others. Projections
+norm; a query has 0 there and length M. Projections
 are the rows of random orthogonal matrices, whose collision counts vary less than independent ones.
 Every block is searched for every query, so a query misses a neighbour only if that
 falls short of the collision threshold of its block; the result of all blocks is merged by an aggregation. The work is
@@ -47,13 +47,12 @@ def bases(dim: int, count: int) -> np.ndarray:
 
 
 def deal_blocks(vectors: DataFrame, dim: int, count: int) -> tuple[DataFrame, int]:
-    """The written blocks (target, ids, vectors) of (id, vector, norm) rows, one row each, and their number.
+    """The written blocks (target, ids, vectors) of (id, vector) rows, one row each, and their number.
 
-    Ranges of norms; equal norms and repeated rows are dealt by a number of the row. Written, as a row's place in its block names it.
+    Dealt in turn, so that copies spread over all blocks. Written, as a row's place in its block names it.
     """
     size = min(BLOCK, max(512, VALUES // (dim + 1)))
-    row = F.xxhash64("id", F.monotonically_increasing_id())
-    dealt = vectors.withColumn("row", row).repartitionByRange(max(1, -(-count // size)), "norm", "row")
+    dealt = vectors.repartition(max(1, -(-count // size)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -155,13 +154,12 @@ def nearest_by_collisions(vectors: DataFrame, id_column: str, vector_column: str
     finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.filter(F.col(id_column).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda c: c != 0))
     rows = rows.select(F.col(id_column).cast("long").alias("id"), v.cast("array<double>").alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, c: s + c * c))
     told = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     schema = "query_id long, row long, vec_id long, score double"
     if told is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = told["dim"]
-    dealt, blocks = deal_blocks(rows.filter(F.size("vector") == dim).withColumn("norm", norm), dim, told["n"])
+    dealt, blocks = deal_blocks(rows.filter(F.size("vector") == dim), dim, told["n"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +182,7 @@ def nearest_by_collisions(vectors: DataFrame, id_column: str, vector_column: str
                     block = Block(row["target"], ids, vectors, axes)
                     continue
                 if block is None or block.target != row["target"]:
-                    continue  # a range of norms without vectors
+                    continue  # an empty block
                 places = np.frombuffer(row["places"], np.int64)
                 own = places if home == block.target else np.full(len(ids), -1)
                 out = list(block.nearest(vectors, own, k))
