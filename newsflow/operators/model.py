@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsflow.functions.text import blank_to_null, strip
+from newsflow.session import cut_lineage
 
 Model = Callable[[list[dict]], list[dict]]
 CHUNK = 2048  # rows, or centroids, that one task compares at a time
@@ -220,12 +221,8 @@ def add_sites(df: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-IDF_BUCKETS = 16**4
-
-
-def term_bucket(term: Column) -> Column:
-    """One of 65536 buckets of a term, so that term statistics have a fixed size."""
-    return F.conv(F.substring(F.md5(term), 1, 4), 16, 10).cast("int")
+#: Share of all (document, term) pairs above which a term is frequent.
+FREQUENT = 1 / 2000
 
 
 def _words(text: Column) -> Column:
@@ -233,44 +230,37 @@ def _words(text: Column) -> Column:
 
 
 def document_frequencies(df: DataFrame, text: str) -> DataFrame:
-    """One row with ``counts``: number of documents per term bucket.
-
-    A document contributes each of its buckets once, counted before the shuffle, so the
-    shuffle carries at most 65536 rows per task and the result has 65536 entries.
-    """
-    buckets = df.select(F.explode(F.array_distinct(F.transform(_words(F.col(text)), term_bucket))).alias("b"))
-    counts = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(IDF_BUCKETS).select(F.col("id").cast("int").alias("b"))
-    filled = every.join(counts, "b", "left").select("b", F.coalesce("n", F.lit(0)).alias("n"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "n"))), lambda x: x["n"]).alias("counts"))
+    """``(term, n)``: number of rows whose text has the term; a row names each of its terms once, counted before the shuffle."""
+    terms = df.select(F.explode(F.array_distinct(_words(F.col(text)))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def extract_summary(df: DataFrame, key: str, text: str, top: int = 3) -> DataFrame:
-    """``(key, rank, pos, sentence, score)``: the sentences with the highest TF-IDF sums.
+    """``(key, rank, pos, sentence, score)``: the sentences with the highest TF-IDF sums. ``key`` is unique.
 
     Texts are cut after sentence ends and at line breaks. A sentence's score is the sum over
     its words of ln((1 + documents) / (1 + documents with the word)); equal scores keep
-    reading order. Apart from the document frequencies everything happens inside the row
-    of a document, so texts are not shuffled.
+    reading order. Weights of terms in more than ``FREQUENT`` of all (document, term) pairs, at most 1/FREQUENT terms, go to
+    every task; only the other words are shuffled to their weight, so no task gets all rows of a frequent word. Of the texts
+    themselves only those with a best sentence meet their places again.
     """
-    # One row of fixed size; as a literal it is looked up by index, without a join.
-    counts = document_frequencies(df, text).first()["counts"]
+    frequencies = cut_lineage(document_frequencies(df, text))
+    pairs = frequencies.agg(F.sum("n")).first()[0] or 0
     total = df.count()
-    weights = F.split(F.lit(",".join(repr(math.log((1 + total) / (1 + n))) for n in counts)), ",").cast("array<double>")
-
-    def score(sentence: Column) -> Column:
-        return F.round(F.aggregate(
-            F.transform(_words(sentence), term_bucket), F.lit(0.0),
-            lambda a, b: a + F.get(weights, b)), 6)
+    weights = frequencies.select("term", "n", F.log((1 + F.lit(total)) / (1 + F.col("n"))).alias("weight"))
+    frequent = F.col("n") > FREQUENT * pairs
 
     pieces = F.split(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\n"), r"\n+")
-    placed = F.transform(pieces, lambda s, i: F.struct(i.alias("pos"), strip(s).alias("sentence")))
-    worded = F.filter(placed, lambda s: s["sentence"].rlike(r"[\p{L}\p{N}]"))
-    scored = F.transform(worded, lambda s: F.struct(
-        (-score(s["sentence"])).alias("minus"), s["pos"].alias("pos"), s["sentence"].alias("sentence")))
-    best = F.slice(F.array_sort(scored), 1, top)
-    rows = df.select(key, F.posexplode(best).alias("_r", "s"))
-    return rows.select(key, (F.col("_r") + 1).alias("rank"), "s.pos", "s.sentence", (-F.col("s.minus")).alias("score"))
+    words = df.select(key, F.posexplode(pieces).alias("pos", "sentence")).select(key, "pos", F.explode(_words(F.col("sentence"))).alias("term"))
+    told = words.join(F.broadcast(weights.filter(frequent).select("term", "weight")), "term", "left")
+    rest = told.filter("weight is null").select(key, "pos", "term").join(weights.filter(~frequent), "term")
+    scores = told.filter("weight is not null").select(key, "pos", "weight").unionByName(rest.select(key, "pos", "weight"))
+    scores = scores.groupBy(key, "pos").agg(F.round(F.sum("weight"), 6).alias("score"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "pos")
+    best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    places = best.groupBy(key).agg(F.collect_list(F.struct("rank", "pos", "score")).alias("best"))
+    rows = df.select(key, pieces.alias("pieces")).join(places, key).select(key, "pieces", F.explode("best").alias("b"))
+    return rows.select(key, "b.rank", "b.pos", strip(F.get("pieces", F.col("b.pos"))).alias("sentence"), "b.score")
 
 
 def summary_text(best: DataFrame, key: str) -> DataFrame:

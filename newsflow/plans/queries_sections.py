@@ -218,9 +218,8 @@ _SENTENCES = r"""
     raw as (select doc_id, generate_subscripts(p, 1) - 1 as pos, regexp_replace(unnest(p), '^\s+|\s+$', '', 'g') as sentence from pieces),
     sent as (select * from raw where sentence <> ''),
     words as (select doc_id, pos, unnest(list_filter(string_split_regex(lower(sentence), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as w from sent),
-    tok as (select doc_id, pos, left(md5(w), 4) as b from words),
-    idf as (select b, ln((1 + (select count(*) from documents)) / (1 + count(distinct doc_id))) as idf from tok group by 1),
-    scored as (select doc_id, pos, round(sum(idf), 6) as score from tok join idf using (b) group by 1, 2),
+    idf as (select w, ln((1 + (select count(*) from documents)) / (1 + count(distinct doc_id))) as idf from words group by 1),
+    scored as (select doc_id, pos, round(sum(idf), 6) as score from words join idf using (w) group by 1, 2),
     best as (select * from scored qualify row_number() over (partition by doc_id order by score desc, pos) <= 3)"""
 
 
