@@ -70,6 +70,17 @@ def step_durations(runs: DataFrame, start: str, end: str) -> DataFrame:
     return runs.withColumn("duration", duration_text(start, end))
 
 
+def fetch_records(pages: DataFrame, ok, body: str, columns: list[str]) -> DataFrame:
+    """One row per item: ``columns``, ``status`` (success or failed) and ``file_size_bytes``, 0 where nothing was stored.
+
+    A null verdict is a failure, as is a missing body; an empty body that was stored counts as a success of size 0.
+    """
+    stored = F.coalesce(ok, F.lit(False)) & F.col(body).isNotNull()
+    return pages.select(
+        *columns, F.when(stored, "success").otherwise("failed").alias("status"),
+        F.when(stored, F.octet_length(body)).otherwise(0).cast("long").alias("file_size_bytes"))
+
+
 def fetch_summary(pages: DataFrame, ok, body: str) -> DataFrame:
     return pages.agg(
         F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"),

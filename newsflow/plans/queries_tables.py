@@ -165,6 +165,15 @@ def fetch_summary(spark, d):
     return evaluate.fetch_summary(pages, urls.http_status_ok("status"), "html")
 
 
+@query("fetch_records", """
+    select page_id, url, case when page_id % 10 = 3 then 404 else 200 end as status_code,
+      case when page_id % 10 = 3 or html is null then 'failed' else 'success' end as status,
+      cast(case when page_id % 10 = 3 or html is null then 0 else strlen(html) end as bigint) as file_size_bytes from pages""")
+def fetch_records(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", "html", F.when(F.col("page_id") % 10 == 3, 404).otherwise(200).alias("status_code"))
+    return evaluate.fetch_records(pages, urls.http_status_ok("status_code"), "html", ["page_id", "url", "status_code"])
+
+
 # ------------------------------------------------------------------ sinks
 
 

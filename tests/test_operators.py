@@ -1,10 +1,12 @@
 """Hand-computed cases and invariants of the operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsflow.operators import clustering, dedup, edits, evaluate, history, mmr, model, neardup, numbering, ranking, stats, vectors
 from newsflow.sources import catalog, html, sinks, tables
@@ -529,3 +531,42 @@ def test_centroids_of_several_blocks(spark, monkeypatch):
         found = model.assign_by_centroid(rows, emb, centres, "id", "cat")
     assert {r["id"]: r["cat"] for r in found.collect()} == want
     assert {r["cat"] for r in model.assign_by_centroid(rows, emb, centres.limit(0), "id", "cat").collect()} == {"Other"}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 1.0])
+def test_summary_by_exact_terms(spark, share, monkeypatch):
+    """Equal to a plain computation, however many terms count as frequent."""
+    monkeypatch.setattr(model, "FREQUENT", share)
+    draw = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(30)] + ["Été", "the", "THE"]
+    texts = {i: " ".join(pool[int(j)] + draw.choice(["", "", "", ".", "!\n"]) for j in draw.integers(0, len(pool), draw.integers(1, 60))) for i in range(40)}
+    texts |= {40: None, 41: "", 42: "... !!", 43: "same words. same words. same words. same words.", 44: "the " * 5000}
+    words = {i: [re.findall(r"\w+", p.lower()) for p in re.split(r"\n+", re.sub(r"([.!?])\s+", r"\1\n", t or ""))] for i, t in texts.items()}
+    seen = {}
+    for i, pieces in words.items():
+        for w in {w for p in pieces for w in p}:
+            seen[w] = seen.get(w, 0) + 1
+    want = []
+    for i, pieces in words.items():
+        scores = [(round(sum(math.log((1 + len(texts)) / (1 + seen[w])) for w in p), 6), pos) for pos, p in enumerate(pieces) if p]
+        want += [(i, rank + 1, pos, score) for rank, (score, pos) in enumerate(sorted(scores, key=lambda s: (-s[0], s[1]))[:3])]
+    frame = spark.createDataFrame([(i, t, 0.5) for i, t in texts.items()], "id long, text string, weight double")
+    got = sorted((r["id"], r["rank"], r["pos"], r["score"]) for r in model.extract_summary(frame, "id", "text").collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=2e-6)
+    assert model.extract_summary(frame.limit(0), "id", "text").count() == 0
+
+
+def test_fetch_records(spark):
+    rows = [(1, 200, "é"), (2, 404, "x"), (3, 200, None), (4, 200, ""), (5, None, "x")]
+    frame = spark.createDataFrame(rows, "id long, code int, body string")
+    got = [tuple(r) for r in evaluate.fetch_records(frame, F.col("code") == 200, "body", ["id"]).orderBy("id").collect()]
+    assert got == [(1, "success", 2), (2, "failed", 0), (3, "failed", 0), (4, "success", 0), (5, "failed", 0)]
+
+
+def test_model_with_declared_output(spark):
+    frame = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, text string")
+    output = T.StructType([T.StructField("id", T.LongType()), T.StructField("size", T.LongType())])
+    answer = lambda chunk: [{"id": r["id"], "size": len(r["text"]) + r["id"]} for r in chunk]
+    assert sorted(map(tuple, model.model_table(frame, answer, ["text"], output).collect())) == [(i, 2 + i) for i in range(5)]
+    with pytest.raises(ValueError):
+        model.model_table(frame, answer, ["text"], T.StructType([*output.fields, T.StructField("more", T.LongType())]))
