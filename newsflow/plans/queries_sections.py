@@ -267,10 +267,13 @@ def stream_unseen(spark, d):
         "initial_url", F.lit("").alias("final_url"), F.lit("old").alias("title"), F.lit("old").alias("source"), F.lit(False).alias("isAI"),
         F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
     seen.write.mode("overwrite").parquet(f"{root}/history/version=0")
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    # A pattern, as a stream takes no plain path of a single file; the table may be a file or a folder of them.
+    stream = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]")
     published = F.to_timestamp(F.lit("2024-01-02")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("doc_id").cast("decimal(18,6)"))
     incoming = stream.select(
         F.col("doc_id").alias("id"), url.alias("url"), "source", F.col("doc_id").cast("string").alias("title"), F.lit(True).alias("isAI"),
         published.alias("published"))
+    # A stream without rows writes nothing.
+    seen.select(F.col("initial_url").alias("url")).limit(0).write.parquet(f"{root}/out/batch=-1")
     run(incoming, f"{root}/history", f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("url")
+    return spark.read.schema("url string").parquet(f"{root}/out")
