@@ -209,11 +209,12 @@ def upsert_keep_created(spark, d):
 
 
 @query("history_write", """
-    select split_part(url, '?', 1) as initial_url, case when page_id % 3 > 0 then '' when page_id % 2 = 0 then 'https://f.example/' || page_id
-             else split_part(url, '?', 1) end as final_url, page_id % 5 = 0 as ai,
-      case when page_id % 4 = 0 then '2024-01-01' else '2024-01-31' end as created
-    from pages""")
+    select split_part(url, '?', 1) as initial_url,
+      coalesce(min(case when page_id % 3 > 0 then null when page_id % 2 = 0 then 'https://f.example/' || page_id else split_part(url, '?', 1) end), '') as final_url,
+      bool_or(page_id % 5 = 0) as ai, case when bool_or(page_id % 4 = 0) then '2024-01-01' else '2024-01-31' end as created
+    from pages group by 1""")
 def history_write(spark, d):
+    """A row per address, of which several pages may be known: the first of the final addresses, marked if any page is."""
     pages = table(spark, d, "pages").select("page_id", urls.clean_url("url").alias("url"))
     gathered = pages.select("url", F.lit("t").alias("title"), F.lit("s").alias("source"),
                             F.when(F.col("page_id") % 5 == 0, True).alias("isAI"))
@@ -221,7 +222,7 @@ def history_write(spark, d):
     downloaded = pages.filter("page_id % 3 = 0").select("url", final.alias("final_url"))
     stored = pages.filter("page_id % 4 = 0").select(
         F.col("url").alias("initial_url"), F.lit("old").alias("final_url"), F.lit("o").alias("title"), F.lit("o").alias("source"),
-        F.lit(False).alias("isAI"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at"))
+        F.lit(False).alias("isAI"), F.to_timestamp(F.lit("2024-01-01")).alias("created_at")).distinct()
     out = sinks.write_history(stored, sinks.history_rows(gathered, downloaded, now()))
     return out.select("initial_url", "final_url", F.col("isAI").alias("ai"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 

@@ -71,8 +71,13 @@ def history_rows(gathered: DataFrame, downloaded: DataFrame, now: Column) -> Dat
 
 
 def write_history(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """History with the rows upserted; the time a URL was first seen is kept."""
-    return upsert(stored, rows, ["initial_url"], [F.desc("created_at"), F.desc("final_url")], keep=["created_at"])
+    """History with the rows upserted, one per URL; the time a URL was first seen is kept.
+
+    Of several rows for one URL the newest counts, of these the one with the largest final URL, then one marked as AI,
+    then the largest title and source.
+    """
+    newest = [F.desc(c) for c in ("created_at", "final_url", "isAI", "title", "source")]
+    return upsert(stored, rows, ["initial_url"], newest, keep=["created_at"])
 
 
 def article_rows(df: DataFrame, defaults: Mapping[str, object], casts: Mapping[str, str], now: Column) -> DataFrame:
