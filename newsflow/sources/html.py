@@ -173,8 +173,8 @@ def body_text(page: Column | str) -> Column:
     return text.strip(out)
 
 
-def page_text(page: Column | str, max_tokens: int = 8192) -> Column:
-    """Title, social card title and description, then the body; over ``page_facts`` rows."""
+def page_text(page: Column | str, max_tokens: int | None = 8192) -> Column:
+    """Title, social card title and description, then the body; over ``page_facts`` rows. ``max_tokens`` None: all of it."""
     def labelled(label: str, value: Column) -> Column:
         value = text.strip(decode_entities(value))
         return F.when(value != "", F.concat(F.lit(label), value, F.lit("\n"))).otherwise("")
@@ -190,7 +190,7 @@ def page_text(page: Column | str, max_tokens: int = 8192) -> Column:
         labelled("Social card description: ", card("description")),
         text.drop_special_tokens(body_text(page)),
     )
-    return F.coalesce(text.truncate_tokens(full, max_tokens), F.lit(""))
+    return F.coalesce(full if max_tokens is None else text.truncate_tokens(full, max_tokens), F.lit(""))
 
 
 def raw_links(pages: DataFrame, page: str = "html") -> DataFrame:
