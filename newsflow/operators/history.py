@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsflow.functions.urls import registered_domain
 from newsflow.operators.skew import hot_keys, salted_join
+from newsflow.session import cut_lineage
 
 
 def _newest(history: DataFrame, keys: list[str], out: str) -> DataFrame:
@@ -93,8 +94,11 @@ def _title_domain_matches(pairs: DataFrame, history: DataFrame) -> DataFrame:
 
     Items are reduced to distinct (title, domain) and history to the titles asked for. A
     frequent title would still meet domains x URLs, so both sides also join on the first
-    characters of the domain, which a URL that contains the domain must contain as well.
+    characters of the domain, which a URL that contains the domain must contain as well; of a URL only
+    pieces of the lengths asked for are made. The history is the streamed side: for one key a task holds the few domains
+    asked for, never all URLs of a title.
     """
+    pairs = cut_lineage(pairs)
     urls = F.concat_ws(
         "\n", F.lower(F.coalesce(F.col("final_url"), F.lit(""))), F.lower(F.coalesce(F.col("initial_url"), F.lit("")))
     )
@@ -107,10 +111,11 @@ def _title_domain_matches(pairs: DataFrame, history: DataFrame) -> DataFrame:
     size = F.length(domain)
     gram = F.when(size >= 8, F.substring(domain, 1, 8)).when(size >= 4, F.substring(domain, 1, 4)).otherwise(domain)
     asked = pairs.withColumn("_gram", gram)
+    lengths = sorted(r[0] for r in asked.select(F.length("_gram")).distinct().collect()) or [8]  # of 1, 2, 3, 4, 8
     starts = F.sequence(F.lit(1), F.length("_urls"))
-    grams = F.flatten(F.array(*[F.transform(starts, lambda i: F.substr(F.col("_urls"), i, F.lit(n))) for n in (8, 4, 3, 2, 1)]))
+    grams = F.flatten(F.array(*[F.transform(starts, lambda i: F.substr(F.col("_urls"), i, F.lit(n))) for n in lengths]))
     return (
-        asked.join(seen.withColumn("_gram", F.explode(F.array_distinct(grams))), ["title", "_gram"])
+        seen.withColumn("_gram", F.explode(F.array_distinct(grams))).join(asked, ["title", "_gram"])
         .filter(F.contains(F.col("_urls"), domain))
         .groupBy("title", "_domain")
         .agg(F.max("created_at").alias("_m_at"))
