@@ -65,6 +65,10 @@ class Transducer:
                 ranks[i] = rank.get((symbols[i], symbols[i + 1]), none)
         return symbols
 
+    def short(self, letters: list[str]) -> list[str]:
+        """Tokens of a word of at most twice the lookahead, of which nothing goes out before its end."""
+        return self.merge([*letters[:-1], letters[-1] + self.suffix]) if letters else []
+
     def __call__(self, letters: Iterable[str]) -> Iterator[str]:
         """Tokens of one word; holds at most twice the lookahead, and one symbol to know the last."""
         held: list[str] = []
@@ -99,6 +103,7 @@ class BytePairTokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         normalizer = told["normalizer"] or {"type": "Sequence", "normalizers": []}
         self.normalizers = normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]
+        self.replaced = {s["pattern"]["Regex"]: regex.compile(s["pattern"]["Regex"]) for s in self.normalizers if s["type"] == "Replace"}
         pre = told["pre_tokenizer"]
         steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
         patterns = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
@@ -113,7 +118,7 @@ class BytePairTokenizer:
             if step["type"] == "NFC":
                 text = unicodedata.normalize("NFC", text)
             elif step["type"] == "Replace":
-                text = regex.sub(step["pattern"]["Regex"], step["content"], text)
+                text = self.replaced[step["pattern"]["Regex"]].sub(step["content"], text)
             elif step["type"] == "Lowercase":
                 text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
             else:
@@ -127,8 +132,10 @@ class BytePairTokenizer:
                 yield self.special[part]
                 continue
             for word in self.pattern.finditer(self.normal(part)):
-                letters = (self.letters[b] for b in word[0].encode())
-                yield from map(self.vocab.__getitem__, self.transducer(letters))
+                raw = word[0].encode()
+                letters = map(self.letters.__getitem__, raw)
+                tokens = self.transducer.short([*letters]) if len(raw) <= 2 * self.transducer.lookahead else self.transducer(letters)
+                yield from map(self.vocab.__getitem__, tokens)
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         return [list(self.stream(p)) for p in pieces]
