@@ -276,4 +276,5 @@ def stream_unseen(spark, d):
     # A stream without rows writes nothing.
     seen.select(F.col("initial_url").alias("url")).limit(0).write.parquet(f"{root}/out/batch=-1")
     run(incoming, f"{root}/history", f"{root}/out", f"{root}/state").awaitTermination()
-    return spark.read.schema("url string").parquet(f"{root}/out")
+    # The batches are folders, whose number Spark may add as a column.
+    return spark.read.schema("url string").parquet(f"{root}/out").select("url")
